@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that define QUERIES and SQL.
-MODULES = ("bpe", "simhash")
+MODULES = ("bpe", "simhash", "lines", "chat")
 
 
 def queries() -> dict:
