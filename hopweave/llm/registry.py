@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that define QUERIES and SQL.
-MODULES = ("bpe", "simhash", "lines", "chat", "urls", "decontaminate", "quality", "pii", "substrings")
+MODULES = ("bpe", "simhash", "lines", "chat", "urls", "decontaminate", "quality", "pii", "substrings", "embeddings")
 
 
 def queries() -> dict:
