@@ -24,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hopweave.llm.common import components, in_batches, table, written
@@ -165,6 +165,105 @@ def fingerprint_components(fps: DataFrame, threshold: int = THRESHOLD) -> DataFr
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Near-duplicate documents: shingle words, least Jaccard similarity of shingle sets.
+NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
+#: Bands and rows of the sketch that proposes pairs beyond the anchors' reach.
+BANDS, ROWS = 20, 5
+#: Fingerprints of sets as similar as NEAR_SIMILARITY differ in about 10 of 64 bits; none seen in over 22.
+NEAR_BITS = 22
+_MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key a band, from the smallest of the permuted hashes of each of its rows."""
+    least = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 4096):
+        part = hashes[at : at + 4096]
+        np.minimum(least, (part[None, :] * _MULTIPLIERS[:, None]).min(axis=1), out=least)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in range(ROWS):
+        keys = (keys ^ least[row::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def _sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, h1, h2, n, fp, keys): digest of the words, shingles, fingerprint, band keys."""
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, sizes, fps, keys = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                hashes = shingle_hashes(text, NEAR_WORDS)
+                digests.append(xxhash.xxh3_128_digest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())))
+                sizes.append(len(np.unique(hashes)))
+                fps.append(fingerprint_of(hashes))
+                keys.append(band_keys(hashes).view(np.int64) if len(hashes) else np.empty(0, np.int64))
+            pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "h1", "h2", "n", "fp", "keys"],
+            )
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(in_batches(sketched, 512), "doc_id long, h1 long, h2 long, n long, fp long, keys array<long>")
+
+
+def _shingle_sets(docs: DataFrame) -> DataFrame:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, NEAR_WORDS)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(in_batches(listed, 512), "doc_id long, shingles array<long>")
+
+
+def near_duplicate_groups(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """(doc_id, group): documents that are not the smallest of their group of near copies.
+
+    Texts with equal words are one class.  Classes whose fingerprints meet at
+    an anchor, and classes that share a band of the sketch and whose
+    fingerprints differ in at most NEAR_BITS, are candidates; a band links
+    each class to its first member and to the two before it, so it never emits
+    all pairs.  Candidates count as links if the Jaccard similarity of their
+    shingle sets is at least ``similarity``.
+    """
+    own = docs.where(F.col("doc_id").isNotNull())
+    sketches = written(_sketches(own), "near-sketches")
+    classes = written(sketches.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "near-classes")
+    # by anchors: equal fingerprints link to the first of them, linked fingerprints link these
+    firsts = classes.groupBy("fp").agg(F.min_by(F.struct("id", "n"), "id").alias("x"))
+    nodes = written(firsts, "near-fingerprints")
+    met = fingerprint_links(nodes.select("fp"))
+    x, y = nodes.select(F.col("fp").alias("a"), F.col("x").alias("one")), nodes.select(F.col("fp").alias("b"), F.col("x").alias("two"))
+    by_anchor = met.join(x, "a").join(y, "b").select("one", "two")
+    same = classes.join(nodes, "fp").where("id != x.id").select(F.struct("id", "n").alias("one"), F.col("x").alias("two"))
+    # by bands
+    banded = classes.select(F.struct("id", "n", "fp").alias("one"), F.explode("keys").alias("key"))
+    order = Window.partitionBy("key").orderBy("one.id")
+    before = F.array_distinct(F.array_compact(F.array(F.first("one").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lag("one", 1).over(order), F.lag("one", 2).over(order))))
+    by_band = banded.select("one", before.alias("before")).select("one", F.explode("before").alias("two")).where("one.id != two.id").where(F.bit_count(F.col("one.fp").bitwiseXOR(F.col("two.fp"))) <= NEAR_BITS)
+    short = lambda c: F.struct(F.col(f"{c}.id").alias("id"), F.col(f"{c}.n").alias("n")).alias(c)
+    pairs = by_anchor.unionByName(same).unionByName(by_band.select(short("one"), short("two")))
+    pairs = pairs.where(F.least("one.n", "two.n") >= similarity * F.greatest("one.n", "two.n"))
+    pairs = written(pairs.select(F.greatest("one.id", "two.id").alias("a"), F.least("one.id", "two.id").alias("b")).distinct(), "near-pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = own.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id").dropDuplicates(["doc_id"])
+    sets = written(_shingle_sets(texts), "near-shingles")
+    one, two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    links = pairs.join(one, "a").join(two, "b").where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    roots = components(links, "near-components")
+    placed = classes.select("h1", "h2", "id").join(roots, F.col("id") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "id").alias("group"))
+    return sketches.select("doc_id", "h1", "h2").join(placed, ["h1", "h2"]).where("doc_id != group").select("doc_id", "group").distinct()
+
+
+def keep_one(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """The documents without those that are near copies of a smaller doc_id's; null ids stay."""
+    gone = near_duplicate_groups(docs, similarity).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document of ``documents``."""
     fps = written(fingerprints(table(spark, sf_dir, "documents")), "simhash-fingerprints")
