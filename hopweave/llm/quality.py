@@ -111,7 +111,8 @@ def kth_largest(rows: DataFrame, k: int) -> tuple[int, int] | None:
     equal = rows.where(F.col("digits") == prefix).select((F.coalesce("doc_id", F.lit(-(1 << 62))) + F.lit(1 << 62)).alias("id"))
     place = 0
     for shift in (48, 32, 16, 0):
-        some = equal.where(F.shiftright("id", shift + 16) == place).groupBy(F.shiftright("id", shift).alias("d")).count()
+        # a shift by 64 is none: the first digit takes all rows
+        some = (equal.where(F.shiftright("id", shift + 16) == place) if shift < 48 else equal).groupBy(F.shiftright("id", shift).alias("d")).count()
         for row in sorted(some.collect(), key=lambda r: r["d"]):
             if row["count"] >= left:
                 place = row["d"]
