@@ -48,22 +48,22 @@ def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATI
     """The pages with ``text`` rid of boilerplate lines; optional columns count the lines."""
     found = written(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
     few = (found.agg(F.sum(F.size("lines"))).first()[0] or 0) <= BROADCAST_LINES
-    found = found.select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
-    own = pages.withColumn("__key", F.coalesce(F.col(host), F.lit("")))
-    own = own.join(F.broadcast(found) if few else found, F.col("__key") == F.col("__host"), "left")
-    own = own.withColumn("__hits", F.array_intersect(_keys(F.col(text)), F.col("__lines")))
+    found = found.select(F.col("host").alias("__hopweave_host"), F.col("lines").alias("__hopweave_lines"))
+    own = pages.withColumn("__hopweave_key", F.coalesce(F.col(host), F.lit("")))
+    own = own.join(F.broadcast(found) if few else found, F.col("__hopweave_key") == F.col("__hopweave_host"), "left")
+    own = own.withColumn("__hopweave_hits", F.array_intersect(_keys(F.col(text)), F.col("__hopweave_lines")))
     whole = F.split(F.col(text), "\n")
     key = lambda line: F.xxhash64(F.btrim(line, F.lit(BLANKS)))
-    some = F.size("__hits") > 0
-    own = own.withColumn("__kept", F.when(some, F.filter(whole, lambda line: (F.btrim(line, F.lit(BLANKS)) == "") | ~F.array_contains(F.col("__hits"), key(line)))))
+    some = F.size("__hopweave_hits") > 0
+    own = own.withColumn("__hopweave_kept", F.when(some, F.filter(whole, lambda line: (F.btrim(line, F.lit(BLANKS)) == "") | ~F.array_contains(F.col("__hopweave_hits"), key(line)))))
     out = {}
     if n_lines:
         out[n_lines] = F.when(F.col(text).isNull(), 0).otherwise(F.size(whole)).cast("long")
     if n_removed:
-        out[n_removed] = F.when(some, F.size(whole) - F.size("__kept")).otherwise(0).cast("long")
+        out[n_removed] = F.when(some, F.size(whole) - F.size("__hopweave_kept")).otherwise(0).cast("long")
     own = own.withColumns(out) if out else own
-    own = own.withColumn(text, F.when(some, F.array_join("__kept", "\n")).otherwise(F.col(text)))
-    return own.drop("__key", "__host", "__lines", "__hits", "__kept")
+    own = own.withColumn(text, F.when(some, F.array_join("__hopweave_kept", "\n")).otherwise(F.col(text)))
+    return own.drop("__hopweave_key", "__hopweave_host", "__hopweave_lines", "__hopweave_hits", "__hopweave_kept")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
