@@ -26,7 +26,6 @@ name, are ignored by the query and kept by :func:`encode_documents`.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -39,16 +38,18 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: States (1 kB of arcs each) kept before the lazily built part is dropped.
+from hopweave.llm.common import give_back
+
+#: States kept before the lazily built part is dropped; each has an arc of 4 bytes for every byte value met.
 MAX_STATES = 120_000
 #: Pairs of tokens whose stability is remembered.
-MAX_PAIRS = 500_000
+MAX_PAIRS = 150_000
 #: Chunks (a word with the white space before it) whose ids are remembered.
-MAX_CHUNKS = 200_000
+MAX_CHUNKS = 100_000
 #: Marks that are a piece of their own at the end of a word of letters.
 PUNCTUATION = ".,;:!?"
 #: Text handed to Python at once, in rows.
-BATCH_ROWS = 512
+BATCH_ROWS = 128
 #: From how many remaining tokens on a hypothesis remembers its predecessor, not its choices.
 FEW_TOKENS = 12
 #: A rank after all others.
@@ -106,7 +107,7 @@ class BpeTransducer:
                 node = node.setdefault(byte, {})
             node[-1] = rank
         self._list_few(self.root)
-        self._stable: dict[tuple[int, int], bool] = {}
+        self._stable: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._reset()
 
@@ -126,8 +127,10 @@ class BpeTransducer:
         self.open: list[list] = []
         #: per state the token that ends what was read, or -1
         self.token = np.full(1024, -1, np.int32)
-        #: per state and byte the next state, or -1 where not yet asked for
-        self.arcs = np.full((1024, 256), -1, np.int32)
+        #: per state and byte the next state, or -1 where not yet asked for; bytes get a column when first met
+        self.column = np.full(256, -1, np.int64)
+        self.columns = 0
+        self.arcs = np.full((1024, 32), -1, np.int32)
         self._state([(-1, None, self.root)])
 
     def halves(self, token: int) -> tuple[int, int] | None:
@@ -148,7 +151,7 @@ class BpeTransducer:
         Undoes the later of the two last merges again and again and looks
         whether the parts that then meet would have merged before it.
         """
-        key = (left, right)
+        key = left << 32 | right
         known = self._stable.get(key)
         if known is not None:
             return known
@@ -194,7 +197,7 @@ class BpeTransducer:
             self.open.append(hypotheses)
             if number == len(self.token):
                 self.token = np.concatenate([self.token, np.full(number, -1, np.int32)])
-                self.arcs = np.concatenate([self.arcs, np.full((number, 256), -1, np.int32)])
+                self.arcs = np.concatenate([self.arcs, np.full_like(self.arcs, -1)])
             for last, few, node in hypotheses:
                 token = node.get(-1, -1)
                 if token >= 0 and (token in few if few is not None else last < 0 or self.stable(last, token)):
@@ -202,6 +205,15 @@ class BpeTransducer:
                     break
         return number
 
+    def meet(self, data: np.ndarray) -> np.ndarray:
+        """The columns of bytes; new bytes get the next ones."""
+        for byte in np.unique(data[self.column[data] < 0]).tolist():
+            if self.columns == self.arcs.shape[1]:
+                self.arcs = np.concatenate([self.arcs, np.full_like(self.arcs, -1)], axis=1)
+            self.column[byte] = self.columns
+            self.columns += 1
+        return self.column[data]
+
     def step(self, state: int, byte: int) -> int:
         """Makes the arc of a state for a byte."""
         grown = []
@@ -220,7 +232,7 @@ class BpeTransducer:
         if not grown:
             raise ValueError("no token for a byte: the vocabulary lacks single bytes")
         after = self._state(grown)
-        self.arcs[state, byte] = after
+        self.arcs[state, self.column[byte]] = after
         return after
 
     def encode(self, piece: bytes) -> list[int]:
@@ -231,8 +243,9 @@ class BpeTransducer:
         if len(self.open) >= self.max_states:
             self._reset()
         state, ends = 0, []
-        for byte in piece:
-            after = int(self.arcs[state, byte])
+        columns = self.meet(np.frombuffer(piece, np.uint8)).tolist()
+        for byte, column in zip(piece, columns, strict=True):
+            after = int(self.arcs[state, column])
             state = after if after >= 0 else self.step(state, byte)
             ends.append(int(self.token[state]))
         out, at = [], len(ends)
@@ -272,17 +285,18 @@ class BpeTransducer:
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         order = np.argsort(-size, kind="stable")
         data, size = data[order], size[order]
+        columns = self.meet(data)
         ends = np.empty((width, len(pieces)), np.int32)
         state = np.zeros(len(pieces), np.int32)
         for j in range(int(size[0])):
             n = int(np.searchsorted(-size, -j, side="left"))  # those longer than j
-            now, byte = state[:n], data[:n, j]
-            after = self.arcs[now, byte]
+            now, byte, column = state[:n], data[:n, j], columns[:n, j]
+            after = self.arcs[now, column]
             missing = after < 0
             if missing.any():
                 for key in np.unique(now[missing].astype(np.int64) << 8 | byte[missing]).tolist():
                     self.step(key >> 8, key & 255)
-                after = self.arcs[now, byte]
+                after = self.arcs[now, column]
             state[:n] = after
             ends[j, :n] = self.token[after]
         # backwards over the tokens that end at each border
@@ -447,10 +461,7 @@ class Codec:
 @lru_cache(maxsize=2)
 def codec(vocabulary: str, pattern: str) -> Codec:
     """One codec per Python worker; built from the vocabulary file's path."""
-    made = Codec(vocabulary, pattern)
-    gc.collect()
-    gc.freeze()  # the trie stays; later collections need not walk it
-    return made
+    return Codec(vocabulary, pattern)
 
 
 def _pieces_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -484,13 +495,14 @@ def decode_documents(docs: DataFrame, ids: str = "token_ids", text: str = "decod
 def token_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """Per document: n_tokens, digest of its ids, and digest of their decoding.
 
-    Ids stay inside the task; only the digests leave it.
+    Ids stay inside the task; only the digests leave it.  A task builds its
+    own codec and lets go of it: workers serve other operators' tasks too.
     """
     vocabulary, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(vocabulary, pattern)
+        own = Codec(vocabulary, pattern)
         decimal = {i: str(i) for i in own.fst.tokens}
         for whole in batches:
             for batch in _pieces_of(whole):
@@ -506,6 +518,8 @@ def token_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
                     [batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        del own, decimal
+        give_back()
 
     return source.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -76,14 +77,16 @@ class GolayCover:
     """The Golay code as a covering code of 23-bit words."""
 
     def __init__(self, threshold: int):
-        words = np.arange(1 << GOLAY_LENGTH, dtype=np.int64)
-        light = words[np.bitwise_count(words) <= GOLAY_RADIUS]
+        bits = 1 << np.arange(GOLAY_LENGTH, dtype=np.int64)
+        light = np.array([sum(some) for weight in range(GOLAY_RADIUS + 1) for some in combinations(bits.tolist(), weight)], np.int64)
         self.leaders = np.zeros(1 << 11, np.int64)
         self.leaders[self.syndrome(light)] = light
-        codewords = words[self.syndrome(words) == 0]
+        codewords = np.zeros(1, np.int64)
+        for shift in range(GOLAY_LENGTH - 11):
+            codewords = np.concatenate([codewords, codewords ^ GOLAY_POLYNOMIAL << shift])
         #: by excess over the radius: where each syndrome's steps to anchors begin, and the steps
         self.steps = []
-        distance = np.bitwise_count(self.leaders[:, None] ^ codewords[None, :]).astype(np.int64)
+        distance = np.bitwise_count(self.leaders.astype(np.int32)[:, None] ^ codewords.astype(np.int32)[None, :])
         for excess in range(threshold + 1):
             near = distance <= GOLAY_RADIUS if excess == 0 else distance == GOLAY_RADIUS + excess
             rows, columns = np.nonzero(near)
