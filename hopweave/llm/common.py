@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
@@ -9,11 +10,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words: maximal runs of characters other than ASCII white space.
-SPACE = r"[\x20\x09-\x0D]+"
 #: Edges that one task's union-find may hold.
 FOREST_EDGES = 1_000_000
 
@@ -28,10 +28,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/hopweave-checkpoints"
 
 
+#: Tables to delete when the driver ends: later queries may read them until then.
+_WRITTEN: list[str] = []
+
+
+@atexit.register
+def _delete_written() -> None:
+    context = SparkContext._active_spark_context
+    if context is None or context._jvm is None:
+        return
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        for name in _WRITTEN:
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes the rows to the shared folder and reads them back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -44,12 +60,6 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def words_of(text) -> F.Column:
-    """Words of a text column, as an array; null and blank texts have none."""
-    parts = F.split(F.coalesce(text, F.lit("")), SPACE)
-    return F.filter(parts, lambda w: w != "")
-
-
 def give_back() -> None:
     """Returns freed memory to the system, where the C library can: workers outlive their tasks."""
     gc.collect()
