@@ -43,13 +43,13 @@ from hopweave.llm.common import give_back
 #: States kept before the lazily built part is dropped; each has an arc of 4 bytes for every byte value met.
 MAX_STATES = 120_000
 #: Pairs of tokens whose stability is remembered.
-MAX_PAIRS = 150_000
+MAX_PAIRS = 500_000
 #: Chunks (a word with the white space before it) whose ids are remembered.
-MAX_CHUNKS = 100_000
+MAX_CHUNKS = 200_000
 #: Marks that are a piece of their own at the end of a word of letters.
 PUNCTUATION = ".,;:!?"
 #: Text handed to Python at once, in rows.
-BATCH_ROWS = 128
+BATCH_ROWS = 512
 #: From how many remaining tokens on a hypothesis remembers its predecessor, not its choices.
 FEW_TOKENS = 12
 #: A rank after all others.
