@@ -174,6 +174,8 @@ NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Fingerprints of sets as similar as NEAR_SIMILARITY differ in about 10 of 64 bits; none seen in over 22.
 NEAR_BITS = 22
+#: Pairs left up to which no further pivot is tried.
+PAIRS_AT_ONCE = 200_000
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -221,42 +223,94 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(in_batches(listed, 512), "doc_id long, shingles array<long>")
 
 
+def _sized(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of pairs (one, two): each once, without those whose sizes rule the similarity out."""
+    pairs = pairs.where("one.id != two.id").where(F.bit_count(F.col("one.fp").bitwiseXOR(F.col("two.fp"))) <= NEAR_BITS)
+    pairs = pairs.where(F.least("one.n", "two.n") >= similarity * F.greatest("one.n", "two.n"))
+    return pairs.select(F.greatest("one.id", "two.id").alias("a"), F.least("one.id", "two.id").alias("b")).distinct()
+
+
+def _pivot_pairs(apart: DataFrame) -> DataFrame:
+    """(one, two): every member of a key with the member that meets most others of other components."""
+    own = apart.groupBy("me.id").agg(F.sum("others").alias("met"))
+    rank = F.struct("met", -F.col("id"))
+    ranked = apart.withColumn("id", F.col("me.id")).join(own, "id").select("key", "root", "me", rank.alias("rank"))
+    pivots = ranked.groupBy("key").agg(F.max_by(F.struct("me", "root"), "rank").alias("pivot"))
+    return apart.join(pivots, "key").where("root != pivot.root").select(F.col("me").alias("one"), F.col("pivot.me").alias("two"))
+
+
+def _all_pairs(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(one, two): all pairs of two components that share a key and may be similar.
+
+    Sets ordered by one order, rare shingles first, share one of their first
+    n - ceil(similarity n) + 1 if they are similar, and behind the first that
+    they share there is room for the rest: pairs without that are none.
+    """
+    own = apart.groupBy("me", "root").agg(F.collect_set("key").alias("keys")).withColumn("id", F.col("me.id"))
+    shingles = own.select("id").join(sets.withColumnRenamed("doc_id", "id"), "id").select("id", F.size("shingles").alias("of"), F.explode("shingles").alias("shingle"))
+    shingles = shingles.withColumn("often", F.count("*").over(Window.partitionBy("shingle")))
+    ranked = shingles.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("often", "shingle")))
+    first = written(ranked.where((F.col("often") > 1) & (F.col("at") <= F.col("of") - F.ceil(similarity * F.col("of") - 1e-9) + 1)).select("id", "of", "at", "shingle"), "near-prefixes")
+    one, two = (first.select("shingle", *[F.col(c).alias(c + k) for c in ("id", "of", "at")]) for k in "12")
+    member = lambda k, name: own.select(F.col("id").alias("id" + k), F.col("root").alias("root" + k), F.col("keys").alias("keys" + k), F.col("me").alias(name))
+    room = 1 + F.least(F.col("of1") - F.col("at1"), F.col("of2") - F.col("at2"))
+    possible = (F.col("id1") < F.col("id2")) & (room * (1 + similarity) >= similarity * (F.col("of1") + F.col("of2")) - 1e-9)
+    pairs = one.join(two, "shingle").where(possible).select("id1", "id2").distinct()
+    return pairs.join(member("1", "one"), "id1").join(member("2", "two"), "id2").where("root1 != root2").where(F.arrays_overlap("keys1", "keys2")).select("one", "two")
+
+
 def near_duplicate_groups(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """(doc_id, group): documents that are not the smallest of their group of near copies.
 
-    Texts with equal words are one class.  Classes whose fingerprints meet at
-    an anchor, and classes that share a band of the sketch and whose
-    fingerprints differ in at most NEAR_BITS, are candidates; a band links
-    each class to its first member and to the two before it, so it never emits
-    all pairs.  Candidates count as links if the Jaccard similarity of their
-    shingle sets is at least ``similarity``.
+    Texts with equal words are one class.  Classes meet under a key: a band of
+    the sketch, a fingerprint, or two fingerprints that meet at an anchor.  The
+    groups are the components of all pairs that meet and whose shingle sets'
+    Jaccard similarity is at least ``similarity``.  Pairs inside a component
+    need no comparison, so each class is first compared with a key's first and
+    the two before it; then, while many pairs are left, with the key's member
+    that meets most others; at last all pairs left between two components are.
     """
     own = docs.where(F.col("doc_id").isNotNull())
     sketches = written(_sketches(own), "near-sketches")
     classes = written(sketches.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "near-classes")
-    # by anchors: equal fingerprints link to the first of them, linked fingerprints link these
-    firsts = classes.groupBy("fp").agg(F.min_by(F.struct("id", "n"), "id").alias("x"))
-    nodes = written(firsts, "near-fingerprints")
-    met = fingerprint_links(nodes.select("fp"))
-    x, y = nodes.select(F.col("fp").alias("a"), F.col("x").alias("one")), nodes.select(F.col("fp").alias("b"), F.col("x").alias("two"))
-    by_anchor = met.join(x, "a").join(y, "b").select("one", "two")
-    same = classes.join(nodes, "fp").where("id != x.id").select(F.struct("id", "n").alias("one"), F.col("x").alias("two"))
-    # by bands
-    banded = classes.select(F.struct("id", "n", "fp").alias("one"), F.explode("keys").alias("key"))
-    order = Window.partitionBy("key").orderBy("one.id")
-    before = F.array_distinct(F.array_compact(F.array(F.first("one").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lag("one", 1).over(order), F.lag("one", 2).over(order))))
-    by_band = banded.select("one", before.alias("before")).select("one", F.explode("before").alias("two")).where("one.id != two.id").where(F.bit_count(F.col("one.fp").bitwiseXOR(F.col("two.fp"))) <= NEAR_BITS)
-    short = lambda c: F.struct(F.col(f"{c}.id").alias("id"), F.col(f"{c}.n").alias("n")).alias(c)
-    pairs = by_anchor.unionByName(same).unionByName(by_band.select(short("one"), short("two")))
-    pairs = pairs.where(F.least("one.n", "two.n") >= similarity * F.greatest("one.n", "two.n"))
-    pairs = written(pairs.select(F.greatest("one.id", "two.id").alias("a"), F.least("one.id", "two.id").alias("b")).distinct(), "near-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    met = fingerprint_links(written(classes.select("fp").distinct(), "near-fingerprints"))
+    me = F.struct("id", "n", "fp").alias("me")
+    by_anchor = met.select(F.explode(F.array("a", "b")).alias("fp"), F.xxhash64("a", "b").alias("key")).join(classes.select("id", "n", "fp"), "fp").select("key", me)
+    by_key = classes.select(F.explode(F.concat("keys", F.array("fp"))).alias("key"), me)
+    size = F.count("*").over(Window.partitionBy("key"))
+    meetings = written(by_key.unionByName(by_anchor).withColumn("size", size).where("size > 1"), "near-meetings")
+    needed = meetings.select(F.col("me.id").alias("doc_id")).distinct()
     texts = own.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id").dropDuplicates(["doc_id"])
     sets = written(_shingle_sets(texts), "near-shingles")
-    one, two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(one, "a").join(two, "b").where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    roots = components(links, "near-components")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        one, two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+        shared = F.size(F.array_intersect("sa", "sb"))
+        return written(pairs.join(one, "a").join(two, "b").where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "near-links")
+
+    order = Window.partitionBy("key").orderBy("me.id")
+    before = F.array_distinct(F.array_compact(F.array(F.first("me").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lag("me", 1).over(order), F.lag("me", 2).over(order))))
+    compared = written(_sized(meetings.select(F.col("me").alias("one"), before.alias("before")).select("one", F.explode("before").alias("two")), similarity), "near-pairs")
+    links = similar(compared)
+    roots, found = components(links, "near-components"), True
+    while True:
+        placed = meetings.join(roots, F.col("me.id") == F.col("node"), "left").select("key", "size", "me", F.coalesce("root", "me.id").alias("root"))
+        others = F.col("size") - F.count("*").over(Window.partitionBy("key", "root"))
+        apart = written(placed.withColumn("others", others).where("others > 0"), "near-apart")
+        left = (apart.agg(F.sum("others")).first()[0] or 0) // 2
+        if left == 0:
+            break
+        last = not found or left <= PAIRS_AT_ONCE
+        pairs = _sized(_all_pairs(apart, sets, similarity) if last else _pivot_pairs(apart), similarity).join(compared, ["a", "b"], "left_anti")
+        pairs = written(pairs, "near-pairs")
+        more = similar(pairs)
+        found = not more.isEmpty()
+        if found:
+            links = links.unionByName(more)
+            roots = components(links, "near-components")
+        if last:
+            break
+        compared = compared.unionByName(pairs)
     placed = classes.select("h1", "h2", "id").join(roots, F.col("id") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "id").alias("group"))
     return sketches.select("doc_id", "h1", "h2").join(placed, ["h1", "h2"]).where("doc_id != group").select("doc_id", "group").distinct()
 

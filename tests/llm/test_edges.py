@@ -124,6 +124,31 @@ def test_components_beyond_one_task(spark):
         assert roots == {**{i: 0 for i in range(1, 61)}, **{100 + i: 100 for i in range(1, 11)}}
 
 
+@pytest.mark.parametrize("at_once", [0, simhash.PAIRS_AT_ONCE])
+@pytest.mark.parametrize("hub", [0, 30, 60])
+def test_near_copies_of_a_hub(spark, monkeypatch, hub, at_once):
+    """Variants are near copies of the hub, not of each other: none is lost, wherever the hub's id is."""
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", at_once)
+    rng = np.random.default_rng(5)
+    base = [f"h{i}" for i in range(300)]
+    texts = [list(base) for _ in range(61)]
+    for i, own in enumerate(texts):
+        for at in rng.choice(300, size=5, replace=False) if i != hub else []:
+            own[at] = f"v{i}x{at}"
+    texts = [" ".join(t) for t in texts]
+    # the definition: components of all pairs that share a band and are similar
+    sets = [set(simhash.shingle_hashes(t, simhash.NEAR_WORDS).tolist()) for t in texts]
+    keys = [set(simhash.band_keys(simhash.shingle_hashes(t, simhash.NEAR_WORDS)).tolist()) for t in texts]
+    forest = common.Forest()
+    for i in range(len(texts)):
+        for j in range(i):
+            if keys[i] & keys[j] and len(sets[i] & sets[j]) >= simhash.NEAR_SIMILARITY * len(sets[i] | sets[j]):
+                forest.join(i, j)
+    gone = {i for i in range(len(texts)) if forest.root(i) != i}
+    assert len(gone) == 60
+    assert {r["doc_id"] for r in simhash.near_duplicate_groups(docs(spark, texts)).collect()} == gone
+
+
 def test_near_copies(spark):
     words = [f"word{i}" for i in range(200)]
     close = [*words[:100], "changed", *words[101:]]
