@@ -149,6 +149,16 @@ def test_near_copies_of_a_hub(spark, monkeypatch, hub, at_once):
     assert {r["doc_id"] for r in simhash.near_duplicate_groups(docs(spark, texts)).collect()} == gone
 
 
+def test_near_copies_with_distant_fingerprints(spark):
+    """Repeats move a fingerprint, not the set of shingles."""
+    line = " ".join(f"r{i}" for i in range(8))
+    own = [" ".join(f"d{k}w{i}" for i in range(300)) for k in range(6)]
+    texts = [t for text in own for t in (f"{text} {line}", " ".join([text] + [line] * 1000))]
+    fps = [simhash.fingerprint_of(simhash.shingle_hashes(t, simhash.NEAR_WORDS)) for t in texts]
+    assert max((a ^ b).bit_count() for a, b in zip(fps[::2], fps[1::2])) > 22
+    assert {r["doc_id"] for r in simhash.near_duplicate_groups(docs(spark, texts)).collect()} == {1, 3, 5, 7, 9, 11}
+
+
 def test_near_copies(spark):
     words = [f"word{i}" for i in range(200)]
     close = [*words[:100], "changed", *words[101:]]
