@@ -14,7 +14,7 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Edges that one task's union-find may hold.
+#: Edges that one task's union-find may hold: nodes before the last task, all that is left in it.
 FOREST_EDGES = 1_000_000
 
 
@@ -93,8 +93,8 @@ class Forest:
         return nodes, [self.root(x) for x in nodes]
 
 
-def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces edges by stars with the same components, a bounded number at a time."""
+def _forests(batches: Iterator[pa.RecordBatch], most: float = FOREST_EDGES) -> Iterator[pa.RecordBatch]:
+    """Replaces edges by stars with the same components, ``most`` nodes at a time; parts are not merged."""
 
     def stars(forest: Forest) -> pa.RecordBatch:
         nodes, roots = forest.stars()
@@ -104,13 +104,13 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             forest.join(a, b)
-        if len(forest.up) > FOREST_EDGES:
+        if len(forest.up) > most:
             yield stars(forest)
             forest = Forest()
     yield stars(forest)
 
 
-def components(edges: DataFrame, name: str = "components", forest_edges: int = FOREST_EDGES) -> DataFrame:
+def components(edges: DataFrame, name: str = "components", forest_edges: int = FOREST_EDGES, forest_nodes: int = FOREST_EDGES) -> DataFrame:
     """Connected components: (node, root) for every node of ``edges`` (a, b) but the roots.
 
     Each task first replaces its edges by stars.  What is left is finished by
@@ -118,7 +118,7 @@ def components(edges: DataFrame, name: str = "components", forest_edges: int = F
     each written to the shared folder, until the edges are stars already.
     The root of a component is its smallest node.
     """
-    stars = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forests, "a long, b long"), name)
+    stars = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(lambda batches: _forests(batches, forest_nodes), "a long, b long"), name)
     rounds = 0
     while (left := stars.count()) > forest_edges:
         both = stars.union(stars.select("b", "a"))
@@ -135,7 +135,7 @@ def components(edges: DataFrame, name: str = "components", forest_edges: int = F
         if same:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
     if left:
-        final = written(stars.coalesce(1).mapInArrow(_forests, "a long, b long"), name)
+        final = written(stars.coalesce(1).mapInArrow(lambda batches: _forests(batches, float("inf")), "a long, b long"), name)
         remove(stars)
         stars = final
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -124,6 +124,17 @@ def test_components_beyond_one_task(spark):
         assert roots == {**{i: 0 for i in range(1, 61)}, **{100 + i: 100 for i in range(1, 11)}}
 
 
+def test_components_of_few_edges_with_many_nodes(spark):
+    """The last task merges all edges that are left, however many nodes they have."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        chains = spark.createDataFrame([(3 * i, 3 * i + 1) for i in range(30)] + [(3 * i + 1, 3 * i + 2) for i in range(30)], "a long, b long")
+        rows = [(r["node"], r["root"]) for r in common.components(chains, forest_edges=100, forest_nodes=10).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(rows) == [(3 * i + k, 3 * i) for i in range(30) for k in (1, 2)]
+
+
 @pytest.mark.parametrize("at_once", [0, simhash.PAIRS_AT_ONCE])
 @pytest.mark.parametrize("hub", [0, 30, 60])
 def test_near_copies_of_a_hub(spark, monkeypatch, hub, at_once):
