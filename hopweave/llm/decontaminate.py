@@ -2,8 +2,9 @@
 
 Texts become lower-case words without punctuation.  Each mask lays a short
 window over the words and hashes only the positions it cares about, so a
-substituted word at an ignored position does not break the seed.  Benchmark
-seeds are taken at every position, document seeds at every STRIDE-th; equal
+substituted word at an ignored position does not break the seed.  Seeds are
+taken at every position of items and documents, with masks of which one fits
+every way in which a window can agree in MIN_AGREEMENT of its places; equal
 hashes put a document position on a diagonal of an item.  Around each hit the
 item's words are compared with the document's along the diagonal; the overlap
 counts if some WINDOW consecutive words (all words of a shorter item) agree in
@@ -28,10 +29,18 @@ from pyspark.sql import functions as F
 
 from hopweave.llm.common import table
 
-#: 1: the word counts, 0: it is ignored.
+#: By the words of a window the masks of its items' seeds; 1: the word counts, 0: it is ignored.
+FAMILIES = {
+    8: ("11011", "1111", "1100011"),
+    9: ("11101", "100111"),
+    10: ("111011", "11010011", "11111"),
+    11: ("1101011", "1110011"),
+    12: ("111011", "110100011", "11001011", "110111"),
+}
+WINDOW, MIN_AGREEMENT = 12, 0.75
+#: What the SQL seeds by.
 MASKS = ("11011011", "110101011", "1100110011")
 STRIDE = 2
-WINDOW, MIN_AGREEMENT = 12, 0.75
 BROADCAST_SEEDS = 200_000
 SHORTEST = min(map(len, MASKS))
 
@@ -42,20 +51,12 @@ def coded_words(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _masked(codes: Column, number: int, stride: int) -> Column:
-    care = [i for i, c in enumerate(MASKS[number]) if c == "1"]
-    last = F.size(codes) - len(MASKS[number])
-
-    def seed(at: Column) -> Column:
-        return F.struct(at.alias("pos"), F.xxhash64(F.lit(number), *[F.get(codes, at + i) for i in care]).alias("seed"))
-
-    every = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride)), seed)
-    return F.filter(every, lambda s: last >= 0)
-
-
-def _seeds(codes: Column, stride: int) -> Column:
-    """Array of (pos, seed) of all masks."""
-    return F.concat(*[_masked(codes, number, stride) for number in range(len(MASKS))])
+def _seeds(frame: DataFrame, codes: str, masks: dict[str, Column]) -> DataFrame:
+    """Adds (pos, seed) to ``frame``, a row for every place where a mask fits whose condition holds."""
+    n, pos = F.size(codes), F.col("pos")
+    seeds = [F.when((pos <= n - len(m)) & own, F.xxhash64(F.lit(m), *[F.get(codes, pos + i) for i, c in enumerate(m) if c == "1"])) for m, own in masks.items()]
+    at = frame.withColumn("pos", F.explode_outer(F.when(n > 0, F.sequence(F.lit(0), n - 1))))
+    return at.withColumn("seed", F.explode(F.array(*seeds))).where("seed IS NOT NULL")
 
 
 def _agreement(codes: Column, item: Column, diagonal: Column) -> tuple[Column, Column]:
@@ -75,11 +76,13 @@ def _counts(same: Column) -> Column:
 def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """(doc_id, item_id, matched): verified overlaps, the most agreeing words of any diagonal."""
     items = benchmark.select(F.col("item_id").cast("long"), coded_words(F.col("text")).alias("item")).where(F.size("item") >= SHORTEST)
-    seeds = items.select("item_id", F.explode(_seeds(F.col("item"), 1)).alias("s")).select(F.col("s.seed").alias("seed"), "item_id", F.col("s.pos").alias("item_pos"))
+    width = F.least(F.size("item"), F.lit(WINDOW))
+    widths = sorted(r[0] for r in items.select(width).distinct().collect())
+    masks = {m: width.isin([w for w in widths if m in FAMILIES[w]]) for m in sorted({m for w in widths for m in FAMILIES[w]})} or {"1": F.lit(False)}
+    seeds = _seeds(items, "item", masks).select("seed", "item_id", F.col("pos").alias("item_pos"))
     few = seeds.count() <= broadcast_seeds
-    coded = docs.select(F.col("doc_id").cast("long"), coded_words(F.col("text")).alias("codes")).where(F.size("codes") >= SHORTEST)
-    at = coded.select("doc_id", *(["codes"] if few else []), F.explode(_seeds(F.col("codes"), STRIDE)).alias("s"))
-    at = at.select("doc_id", *(["codes"] if few else []), F.col("s.seed").alias("seed"), F.col("s.pos").alias("pos"))
+    coded = docs.select(F.col("doc_id").cast("long"), coded_words(F.col("text")).alias("codes"))
+    at = _seeds(coded, "codes", dict.fromkeys(masks, F.lit(True))).select("doc_id", *(["codes"] if few else []), "seed", "pos")
     hits = at.join(F.broadcast(seeds) if few else seeds, "seed").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
     if few:
         # the words around the hit are cut out first: the whole document stays behind

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing column names."""
 
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -252,6 +253,23 @@ def test_substitutions_and_big_benchmarks(spark):
     assert sorted(r["doc_id"] for r in decontaminate.drop_leaks(docs(spark, texts), benchmark).collect()) == [1, 3]
 
 
+def test_masks_fit_every_agreement():
+    for width, masks in decontaminate.FAMILIES.items():
+        for wrong in itertools.combinations(range(width), width - int(np.ceil(decontaminate.MIN_AGREEMENT * width))):
+            assert any(all(m[i - at] == "0" for i in wrong if 0 <= i - at < len(m)) for m in masks for at in range(width - len(m) + 1)), (width, wrong)
+
+
+def test_overlaps_at_any_place_with_any_substitutions(spark):
+    item, short = [f"word{i}" for i in range(12)], [f"short{i}" for i in range(8)]
+    swapped = itertools.combinations(range(12), 3)
+    texts = [" ".join(["before"] * (n % 2) + ["swapped" if i in wrong else w for i, w in enumerate(item)]) for n, wrong in enumerate(swapped)]
+    texts += ["before " + " ".join(short), " ".join(short)]
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    for seeds in (decontaminate.BROADCAST_SEEDS, 0):
+        rows = {(r["doc_id"], r["item_id"], r["matched"]) for r in decontaminate.overlaps(docs(spark, texts), benchmark, seeds).collect()}
+        assert rows == {*((n, 1, 9) for n in range(220)), (220, 2, 8), (221, 2, 8)}
+
+
 def test_kth_largest(spark):
     rng = np.random.default_rng(1)
     rows = [(int(d), int(i)) for i, d in enumerate(rng.integers(0, 40, size=500) * 3 + (1 << 59))]
