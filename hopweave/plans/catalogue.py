@@ -304,7 +304,7 @@ def leak_check(spark, sf_dir):
 @query("SELECT doc_id, CASE WHEN 1200 + doc_id % 900 < 2030 THEN replace(left(text, 200) || CAST(1200 + doc_id % 900 AS VARCHAR), CAST(1200 + doc_id % 900 AS VARCHAR), '[YEAR]') ELSE left(text, 200) || CAST(1200 + doc_id % 900 AS VARCHAR) END AS masked FROM documents")
 def leak_sanitize(spark, sf_dir):
     year = (F.col("doc_id") % 900 + 1200).cast("string")
-    return read(spark, sf_dir, "documents").select("doc_id", P.mask_years(F.concat(F.left("text", F.lit(200)), year), F.concat(F.lit("in "), year)).alias("masked"))
+    return read(spark, sf_dir, "documents").select("doc_id", P.mask_years(F.concat("text", year), F.concat(F.lit("in "), year)).alias("masked"))
 
 
 def _cases(keywords: dict, column: str, otherwise: str) -> str:

@@ -27,3 +27,11 @@ def test_entry(spark):
 def test_dom_text(spark):
     rows = catalogue.QUERIES["html_text_dom"](spark, SF).collect()
     assert rows and all("track(0)" not in (r["text"] or "") for r in rows)
+
+
+def test_leak_sanitize_reads_the_whole_text(spark):
+    rows = {r["doc_id"]: r["masked"] for r in catalogue.QUERIES["leak_sanitize"](spark, SF).collect()}
+    for r in catalogue.read(spark, SF, "documents").collect():
+        year = 1200 + r["doc_id"] % 900
+        whole = None if r["text"] is None else r["text"] + str(year)
+        assert rows[r["doc_id"]] == (whole if whole is None or year >= 2030 else whole.replace(str(year), "[YEAR]"))
