@@ -35,3 +35,8 @@ def test_leak_sanitize_reads_the_whole_text(spark):
         year = 1200 + r["doc_id"] % 900
         whole = None if r["text"] is None else r["text"] + str(year)
         assert rows[r["doc_id"]] == (whole if whole is None or year >= 2030 else whole.replace(str(year), "[YEAR]"))
+
+
+def test_entity_in_question_searches_all_names(spark, con):
+    sql = catalogue.SQL["entity_in_question"].replace("FROM documents WHERE doc_id % 50 = 0", "FROM documents")
+    assert rows_of(catalogue.QUERIES["entity_in_question"](spark, SF)) == expected(con, sql)
