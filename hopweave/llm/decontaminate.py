@@ -16,8 +16,7 @@ larger benchmark is joined by hash, hits are made distinct, and documents and
 items join them.  Only DataFrame functions are used.
 
 Defined results: null, empty and blank texts have no word and overlap nothing;
-items with fewer words than the shortest mask match only as far as a mask fits,
-that is, never; equal items are all reported; rows that share a doc_id are one
+items of few words match like others, with masks of their own; equal items are all reported; rows that share a doc_id are one
 document; other columns are ignored by the report and kept by ``drop_leaks``;
 an empty benchmark or document table gives clean or no rows.
 """
@@ -31,6 +30,13 @@ from hopweave.llm.common import table
 
 #: By the words of a window the masks of its items' seeds; 1: the word counts, 0: it is ignored.
 FAMILIES = {
+    1: ("1",),
+    2: ("11",),
+    3: ("111",),
+    4: ("111", "1101", "1011"),
+    5: ("111", "1101"),
+    6: ("1111", "11011"),
+    7: ("11011",),
     8: ("11011", "1111", "1100011"),
     9: ("11101", "100111"),
     10: ("111011", "11010011", "11111"),
@@ -38,7 +44,7 @@ FAMILIES = {
     12: ("111011", "110100011", "11001011", "110111"),
 }
 WINDOW, MIN_AGREEMENT = 12, 0.75
-#: What the SQL seeds by.
+#: What the SQL seeds by; it drops items of fewer words than the shortest mask.
 MASKS = ("11011011", "110101011", "1100110011")
 STRIDE = 2
 BROADCAST_SEEDS = 200_000
@@ -75,7 +81,7 @@ def _counts(same: Column) -> Column:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """(doc_id, item_id, matched): verified overlaps, the most agreeing words of any diagonal."""
-    items = benchmark.select(F.col("item_id").cast("long"), coded_words(F.col("text")).alias("item")).where(F.size("item") >= SHORTEST)
+    items = benchmark.select(F.col("item_id").cast("long"), coded_words(F.col("text")).alias("item")).where(F.size("item") > 0)
     width = F.least(F.size("item"), F.lit(WINDOW))
     widths = sorted(r[0] for r in items.select(width).distinct().collect())
     masks = {m: width.isin([w for w in widths if m in FAMILIES[w]]) for m in sorted({m for w in widths for m in FAMILIES[w]})} or {"1": F.lit(False)}

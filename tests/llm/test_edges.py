@@ -270,6 +270,17 @@ def test_overlaps_at_any_place_with_any_substitutions(spark):
         assert rows == {*((n, 1, 9) for n in range(220)), (220, 2, 8), (221, 2, 8)}
 
 
+@pytest.mark.parametrize("seeds", [decontaminate.BROADCAST_SEEDS, 0])
+def test_short_items(spark, seeds):
+    items = [[f"i{k}w{n}" for n in range(k)] for k in range(1, 8)]
+    texts = [" ".join(["before", *words, "after"]) for words in items]
+    altered = [" ".join(["before", *words[:2], "swapped", *words[3:], "after"]) for words in items[2:]]
+    benchmark = spark.createDataFrame([(len(words), " ".join(words)) for words in items] + [(8, " "), (9, None)], "item_id long, text string")
+    rows = {(r["doc_id"], r["item_id"], r["matched"]) for r in decontaminate.overlaps(docs(spark, texts + altered), benchmark, seeds).collect()}
+    # one word of four to seven may differ, none of fewer
+    assert rows == {(k - 1, k, k) for k in range(1, 8)} | {(7 + k - 3, k, k - 1) for k in range(4, 8)}
+
+
 def test_kth_largest(spark):
     rng = np.random.default_rng(1)
     rows = [(int(d), int(i)) for i, d in enumerate(rng.integers(0, 40, size=500) * 3 + (1 << 59))]
