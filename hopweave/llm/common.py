@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,13 +19,27 @@ from pyspark.sql import functions as F
 FOREST_EDGES = 1_000_000
 
 
+#: Rows up to which a side of a join is broadcast; they are ids and numbers, under 100 bytes each.
+BROADCAST_ROWS = 200_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; one in fewer files than there are cores is dealt out to all of them."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name == "documents" and rows.rdd.getNumPartitions() < cores else rows
+
+
+def few(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows``, to be broadcast if there are at most ``most``; otherwise the join shuffles them."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one under the warehouse where it is unset."""
+    """The folder of spark.checkpoint.dir; on a single machine, where it may be unset, one under the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/hopweave-checkpoints"
 
 

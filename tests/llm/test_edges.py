@@ -247,7 +247,7 @@ def test_substitutions_and_big_benchmarks(spark):
         altered[place] = "swapped"
     texts = [" ".join(altered), " ".join(item[:6]), "Word0, " + " ".join(item[1:]) + "!", " ".join(f"other{i}" for i in range(50))]
     benchmark = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(item)), (9, None)], "item_id long, text string")
-    for seeds in (decontaminate.BROADCAST_SEEDS, 0):
+    for seeds in (decontaminate.SLICE_SEEDS, 60):
         rows = {(r["doc_id"], r["item_id"], r["matched"]) for r in decontaminate.overlaps(docs(spark, texts), benchmark, seeds).collect()}
         assert rows == {(0, 7, 37), (0, 8, 37), (2, 7, 40), (2, 8, 40)}
     assert sorted(r["doc_id"] for r in decontaminate.drop_leaks(docs(spark, texts), benchmark).collect()) == [1, 3]
@@ -265,12 +265,12 @@ def test_overlaps_at_any_place_with_any_substitutions(spark):
     texts = [" ".join(["before"] * (n % 2) + ["swapped" if i in wrong else w for i, w in enumerate(item)]) for n, wrong in enumerate(swapped)]
     texts += ["before " + " ".join(short), " ".join(short)]
     benchmark = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
-    for seeds in (decontaminate.BROADCAST_SEEDS, 0):
+    for seeds in (decontaminate.SLICE_SEEDS, 60):
         rows = {(r["doc_id"], r["item_id"], r["matched"]) for r in decontaminate.overlaps(docs(spark, texts), benchmark, seeds).collect()}
         assert rows == {*((n, 1, 9) for n in range(220)), (220, 2, 8), (221, 2, 8)}
 
 
-@pytest.mark.parametrize("seeds", [decontaminate.BROADCAST_SEEDS, 0])
+@pytest.mark.parametrize("seeds", [decontaminate.SLICE_SEEDS, 60])
 def test_short_items(spark, seeds):
     items = [[f"i{k}w{n}" for n in range(k)] for k in range(1, 8)]
     texts = [" ".join(["before", *words, "after"]) for words in items]
@@ -281,6 +281,36 @@ def test_short_items(spark, seeds):
     assert rows == {(k - 1, k, k) for k in range(1, 8)} | {(7 + k - 3, k, k - 1) for k in range(4, 8)}
 
 
+def test_leaks_without_ids(spark):
+    """Rows without an id are one document a text; rows that share an id are one document."""
+    item = " ".join(f"word{i}" for i in range(15))
+    frame = spark.createDataFrame([(None, item), (None, "clean"), (None, None), (3, "clean"), (3, item), (4, "")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = sorted((r["doc_id"] or 0, r["contaminated"], r["items"], r["matched"]) for r in decontaminate.report(frame, benchmark).collect())
+    assert rows == [(0, False, "", 0), (0, False, "", 0), (0, True, "1", 15), (3, True, "1", 15), (4, False, "", 0)]
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in decontaminate.drop_leaks(frame, benchmark).collect()) == [(0, ""), (0, "clean"), (4, "")]
+    nothing = benchmark.limit(0)
+    assert decontaminate.drop_leaks(frame, nothing).count() == 6 and decontaminate.report(frame.limit(0), benchmark).count() == 0
+
+
+def test_planted_substitutions_are_found(spark):
+    """Recall over planted passages that meet the rule, by words and substitutions: all of them."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"v{i}" for i in range(400)]
+    for words, wrong in ((12, 3), (16, 4), (20, 5), (30, 7)):
+        items = [rng.choice(vocabulary, size=words).tolist() for _ in range(60)]
+        texts, meets = [], set()
+        for n, item in enumerate(items):
+            off = set(rng.choice(words, size=wrong, replace=False).tolist())
+            around = rng.choice(vocabulary, size=rng.integers(1, 30)).tolist()
+            texts.append(" ".join([*around, *(f"x{i}" if i in off else w for i, w in enumerate(item)), *around]))
+            if any(sum(i + k not in off for k in range(12)) >= 9 for i in range(words - 11)):
+                meets.add((n, n))
+        benchmark = spark.createDataFrame([(n, " ".join(item)) for n, item in enumerate(items)], "item_id long, text string")
+        found = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs(spark, texts), benchmark).collect()}
+        assert meets <= found and len(meets) > 50
+
+
 def test_kth_largest(spark):
     rng = np.random.default_rng(1)
     rows = [(int(d), int(i)) for i, d in enumerate(rng.integers(0, 40, size=500) * 3 + (1 << 59))]
