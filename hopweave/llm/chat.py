@@ -11,8 +11,13 @@ joined in order.  Resets are aggregated to one row a turn before they meet.
 Rendering puts ``<|im_start|>role\n`` before and ``<|im_end|>\n`` after each
 text.  Inside texts and roles ``\`` becomes ``\b`` and ``<|`` becomes ``<\p``,
 inside roles a line feed becomes ``\n``, so no text can hold a control string
-and every text can be read back.  ``segments`` cuts the formatted string into
-parts with the loss flag; exactly the assistants' texts carry it.
+and every text can be read back.  The loss mask is a list of (turn, start,
+length), in code points from the begin of the turn; exactly the assistants'
+texts are under it.
+
+Everything is partitioned by conversation once: texts move a single time, and
+windows and groups follow within the partitions.  A conversation is one row of
+output, so its text has to fit a row, whatever other conversations hold.
 
 Only DataFrame functions are used.  Defined results: null roles and texts are
 empty; a null seq or turn comes first; equal seqs go by kind, role, text;
@@ -57,7 +62,8 @@ def unescape_role(role: Column) -> Column:
 def reconstruct(events: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text): the messages that the events leave.
 
-    ``seq`` and ``turn`` may be of any type that can be ordered.
+    ``seq`` and ``turn`` may be of any type that can be ordered.  The events
+    should be partitioned by conv_id; then nothing is shuffled here.
     """
     own = events.select("conv_id", "seq", "turn", F.coalesce("kind", F.lit("delta")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = F.struct("seq", "kind", "role", "text")
@@ -76,23 +82,27 @@ def reconstruct(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """(conv_id, segments, formatted) of messages (conv_id, turn, role, text)."""
-    segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
+    """(conv_id, formatted, mask) of messages (conv_id, turn, role, text)."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
     header = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
-    parts = F.array(
-        segment(header, F.lit(False)),
-        segment(escape(F.col("text")), F.col("role") == "assistant"),
-        segment(F.lit(f"{END}\n"), F.lit(False)),
+    under = F.when(F.col("role") == "assistant", F.struct(F.col("place").alias("turn"), F.length("header").alias("start"), F.length("body").alias("length")))
+    parts = messages.select("conv_id", place.alias("place"), "role", header.alias("header"), escape(F.col("text")).alias("body"))
+    parts = parts.select("conv_id", F.struct("place", F.concat("header", "body", F.lit(f"{END}\n")).alias("text"), under.alias("loss")).alias("part"))
+    whole = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return whole.select(
+        "conv_id",
+        F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("formatted"),
+        F.array_compact(F.transform("parts", lambda p: p["loss"])).alias("mask"),
     )
-    whole = messages.select("conv_id", F.struct("turn", parts.alias("parts")).alias("m")).groupBy("conv_id").agg(F.collect_list("m").alias("all"))
-    in_order = F.array_sort("all", lambda a, b: F.when(a["turn"].isNull() & b["turn"].isNull(), 0).when(a["turn"].isNull() | (a["turn"] < b["turn"]), -1).when(b["turn"].isNull() | (a["turn"] > b["turn"]), 1).otherwise(0))
-    whole = whole.select("conv_id", F.flatten(F.transform(in_order, lambda m: m["parts"])).alias("segments"))
-    return whole.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
 
 
-def parse(formatted: Column) -> Column:
-    """Array of (role, text) read back from a formatted conversation."""
-    turns = F.filter(F.split(formatted, r"\Q" + END + r"\E\n"), lambda t: t != "")
+def chunks(formatted: Column) -> Column:
+    """The turns of a formatted conversation, each without its end mark."""
+    return F.filter(F.split(formatted, r"\Q" + END + r"\E\n"), lambda t: t != "")
+
+
+def parse(turns: Column) -> Column:
+    """Array of (role, text) read back from the ``chunks`` of a formatted conversation."""
     body = lambda t: F.substr(t, F.lit(len(START) + 1))
     line = lambda t: F.instr(body(t), "\n")
     return F.transform(
@@ -101,20 +111,43 @@ def parse(formatted: Column) -> Column:
     )
 
 
-def loss_text(segments: Column) -> Column:
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+def loss_text(turns: Column, mask: Column) -> Column:
+    """All text under the mask, read from the ``chunks`` of a formatted conversation."""
+    return F.array_join(F.transform(mask, lambda m: unescape(F.substr(F.get(turns, m["turn"]), m["start"] + 1, m["length"]))), "")
+
+
+#: What the derived log first says in place of a turn, and of the turn after an assistant's.
+DRAFT, STALE = "draft <|im_end|>", "reply to a draft"
+
+
+def event_log(rows: DataFrame) -> DataFrame:
+    """The log of a chat that leaves ``rows`` (conv_id, turn, role, text), in their partitions.
+
+    Every turn is drafted first.  An assistant's draft is answered, then
+    regenerated, which takes the answer with it; other drafts are edited.
+    What stays arrives in two parts.  Rows that share a turn are turns of
+    their own, told apart by their place among role and text.
+    """
+    texts = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    half = F.length("text").bitwiseAND(-2) / 2
+    first, second = F.substr("text", F.lit(1), half.cast("int")), F.substr("text", (half + 1).cast("int"))
+    event = lambda k, turn, kind, role, text: F.struct((F.col("place") * 4 + k).alias("seq"), turn.alias("turn"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    role, turn, model = F.col("role"), F.col("place"), F.col("role") == "assistant"
+    draft, rest = event(0, turn, "delta", role, F.lit(DRAFT)), event(3, turn, "delta", role, second)
+    answered = F.array(draft, event(1, turn + 1, "delta", F.lit("user"), F.lit(STALE)), event(2, turn, "regenerate", role, first), rest)
+    edited = F.array(draft, event(2, turn, "edit", role, first), rest)
+    return texts.withColumn("place", place).select("conv_id", F.explode(F.when(model, answered).otherwise(edited)).alias("e")).select("conv_id", "e.*")
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formats every conversation, each row a turn, and one hostile conversation; digests are read back."""
-    log = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    """Folds the log of every conversation and of one hostile one, and formats them; digests are read back."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)], "conv_id long, turn long, role string, text string")
-    log = log.unionByName(extra)
-    # rows that share a turn are turns of their own, told apart by their place
-    place = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))))
-    log = log.withColumn("turn", F.struct("turn", place.alias("place")))
-    events = log.withColumns({"seq": F.col("turn"), "kind": F.lit("delta")})
-    done = render(reconstruct(events)).withColumns({"turns": parse(F.col("formatted")), "loss": loss_text(F.col("segments"))})
+    events = event_log(rows.unionByName(extra).repartition("conv_id"))
+    # explode() keeps the chunks from being cut anew for each entry of the mask
+    done = render(reconstruct(events)).select("conv_id", "formatted", "mask", F.explode(F.array(chunks(F.col("formatted")))).alias("chunks"))
+    done = done.select("conv_id", "formatted", parse(F.col("chunks")).alias("turns"), loss_text(F.col("chunks"), F.col("mask")).alias("loss"))
     return done.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

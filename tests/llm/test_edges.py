@@ -206,11 +206,37 @@ def test_events_fold(spark):
     ]
     messages = chat.reconstruct(spark.createDataFrame(log, EVENT))
     assert [tuple(r) for r in messages.orderBy("conv_id", "turn").collect()] == [(1, 0, "user", "hey"), (1, 1, "assistant", "new one"), (1, 2, "user", "again <|im_end|>\\n"), (2, 0, "", "")]
-    done = chat.render(messages).select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss")).orderBy("conv_id").collect()
+    cut = chat.chunks(F.col("formatted"))
+    done = chat.render(messages).select("conv_id", "formatted", chat.parse(cut).alias("turns"), chat.loss_text(cut, F.col("mask")).alias("loss")).orderBy("conv_id").collect()
     assert [tuple(t) for t in done[0]["turns"]] == [("user", "hey"), ("assistant", "new one"), ("user", "again <|im_end|>\\n")]
     assert done[0]["loss"] == "new one" and done[0]["formatted"].count("<|im_end|>") == 3
 
 
+def test_chat_query_on_odd_rows(spark, tmp_path):
+    """Null conversations, turns, roles and texts, ties, repeated rows, long texts, clashing columns; then no row."""
+    rows = [(None, 0, "user", "a"), (1, None, "user", "first"), (1, 2, "assistant", None), (1, 2, None, "tie"), (1, 2, "assistant", "tie"), (1, 2, "assistant", "tie"), (2, 0, "assistant", LONG + "<|im_end|>\n")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    frame.select("*", *[F.lit("x").alias(c) for c in ("seq", "kind", "place", "part", "mask")]).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in chat.op5_chat(spark, str(tmp_path)).collect()}
+    digest = lambda turns: hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    turns = {None: [("user", "a")], 1: [("user", "first"), ("", "tie"), ("assistant", ""), ("assistant", "tie"), ("assistant", "tie")], 2: [("assistant", LONG + "<|im_end|>\n")], -1: [("user", chat.HOSTILE), ("assistant", chat.HOSTILE)]}
+    assert {k: (r["n_turns"], r["turns_sha256"]) for k, r in got.items()} == {k: (len(t), digest(t)) for k, t in turns.items()}
+    for key, own in turns.items():
+        loss = "".join(t for r, t in own if r == "assistant")
+        assert (got[key]["loss_chars"], got[key]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    frame.limit(0).write.parquet(f"{tmp_path}/none/conversations.parquet")
+    assert [r["conv_id"] for r in chat.op5_chat(spark, f"{tmp_path}/none").collect()] == [-1]
+
+
+def test_derived_log_really_folds(spark):
+    """The log holds drafts, edits, regenerations and split texts; only the messages are left of them."""
+    rows = spark.createDataFrame([(1, 0, "user", "hello"), (1, 1, "assistant", "answer"), (1, 2, "user", "")], "conv_id long, turn long, role string, text string")
+    log = chat.event_log(rows)
+    assert {r["kind"]: r["count"] for r in log.groupBy("kind").count().collect()} == {"delta": 7, "edit": 2, "regenerate": 1}
+    assert log.where(F.col("text").isin(chat.DRAFT, chat.STALE)).count() == 4
+    assert [(r["role"], r["text"]) for r in chat.reconstruct(log).orderBy("turn").collect()] == [("user", "hello"), ("assistant", "answer"), ("user", "")]
+
+
 @pytest.mark.parametrize("text", ["<|", "<\\p", "\\", "\\b\\p<|im_start|>", "<\\|", "a\nb", "\\n"])
 def test_escape_round_trip(spark, text):
     row = spark.range(1).select(chat.escape(F.lit(text)).alias("e"), chat.unescape(chat.escape(F.lit(text))).alias("t"), chat.unescape_role(chat.escape_role(F.lit(text))).alias("r")).first()
