@@ -437,6 +437,17 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert got == {**{i: (counts[i], forest.root(i), forest.root(i) == i) for i in counts}, **{o[0]: (0, o[0], True) for o in odd}}
 
 
+def test_embeddings_that_repeat(spark):
+    """Rows that share an id are one vector; null ids link with nothing; an empty table has no rows."""
+    one, other = [1.0, 0.5, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, one, 0), (1, one, 0), (3, one, 0), (4, other, 0), (4, None, 0), (None, one, 0), (None, one, 0), (5, [2.0, 1.0, 0.0], 1), (6, one, 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted(tuple(r) for r in embeddings.near_duplicates(frame).where("vec_id IS NOT NULL").collect())
+    assert got == [(1, 1, 1, True), (3, 1, 1, False), (4, 0, 4, True), (5, 1, 5, True), (6, 1, 5, False)]
+    assert [tuple(r) for r in embeddings.near_duplicates(frame).where("vec_id IS NULL").collect()] == [(None, 0, None, True)]
+    assert embeddings.near_duplicates(frame.limit(0)).count() == 0
+
+
 def test_pipeline_stages(spark):
     folder = "/root/testdata/sf0.001"
     frame = spark.read.parquet(f"{folder}/documents.parquet")
