@@ -13,9 +13,12 @@ sorted, and each learns the smallest document in which it starts.
    of a frequent minimiser are cut again by a second minimiser, so a phrase
    that occurs everywhere does not gather all strings in one bucket.
 3. A task sends each distinct string once, with the smallest of its documents;
-   occurrences keep only the string's 128-bit digest.
-4. Buckets give each string runs of windows with their first document; these
-   join the occurrences, and covered words are removed from the documents.
+   occurrences keep only the string's 128-bit digest.  A string has at most
+   LONGEST windows, so text that repeats itself does not make it long.
+4. Buckets sort the 128-bit digests of their windows and give each string runs
+   of windows with their first document.  A bucket of over LARGE strings, as
+   near copies by the million make it, is no task's: Spark sorts its windows.
+   The runs join the occurrences, and covered words leave the documents.
 
 Defined results: null, empty and blank texts have no word; texts shorter than
 a window keep all; windows repeated within one document, or in rows that share
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm.common import in_batches, table, written
+from hopweave.llm.common import few, in_batches, table, written
 
 WINDOW, GRAM = 50, 8
 #: 16 MB each: minimisers of several documents, and frequent ones.
@@ -44,6 +47,8 @@ BITMAP_BITS = 1 << 27
 FREQUENT = 2_000
 #: Packed strings that a task keeps to send each but once, in bytes.
 PENDING_BYTES = 32 << 20
+#: Windows of a string; strings up to which one task sorts the windows of a bucket.
+LONGEST, LARGE = 256, 2_000
 _LAST = (1 << 63) - 1
 _ORDERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -140,9 +145,7 @@ def super_kmers(docs: DataFrame, shared: np.ndarray, frequent: np.ndarray) -> Da
                 bucket = least.view(np.int64)
                 if (often := hits & _in(many, least)).any():
                     bucket = np.where(often, _mixed(least ^ minimisers(words, 1) * np.uint64(3)).view(np.int64), bucket)
-                for a, b in runs(bucket):
-                    if not hits[a]:
-                        continue
+                for a, b in ((c, min(c + LONGEST, end)) for begin, end in runs(bucket) if hits[begin] for c in range(begin, end, LONGEST)):
                     packed = b" ".join(words[a : b - 1 + WINDOW])
                     digest = xxhash.xxh3_128_digest(packed)
                     rows.append((doc, own_hash, a))
@@ -169,24 +172,44 @@ def super_kmers(docs: DataFrame, shared: np.ndarray, frequent: np.ndarray) -> Da
     return docs.select("id", "hash", "text").mapInArrow(in_batches(cut, 512), _CUT)
 
 
+def _window_digests(packed: bytes) -> np.ndarray:
+    """Two 64-bit halves of the digest of each window of a packed string."""
+    ends = np.flatnonzero(np.frombuffer(packed + b" ", np.uint8) == 32)
+    begins = np.append(0, ends[:-1] + 1)
+    pairs = zip(begins[: len(ends) - WINDOW + 1].tolist(), ends[WINDOW - 1 :].tolist(), strict=True)
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(packed[a:b]) for a, b in pairs]), np.int64).reshape(-1, 2)
+
+
 def _first_documents(strings: list[tuple[int, int, int, bytes]]) -> list[list[tuple[int, int, int]]]:
     """Per string (d1, d2, low, packed) of one bucket its runs of windows (from, to, first document)."""
-    counts = [packed.count(b" ") + 2 - WINDOW for _, _, _, packed in strings]
     if len(strings) == 1:
-        return [[(0, counts[0], strings[0][2])]]
-    windows: list[tuple[bytes, int, int, int]] = []
-    for number, (_, _, low, packed) in enumerate(strings):
-        ends = np.flatnonzero(np.frombuffer(packed + b" ", np.uint8) == 32).tolist()
-        begins = [0, *(e + 1 for e in ends)]
-        windows += [(packed[begins[i] : ends[i + WINDOW - 1]], low, number, i) for i in range(counts[number])]
-    windows.sort()
-    first = [np.empty(n, np.int64) for n in counts]
-    last, least = None, 0
-    for window, low, number, i in windows:
-        if window != last:
-            last, least = window, low
-        first[number][i] = least
-    return [[(a, b, int(own[a])) for a, b in runs(own)] for own in first]
+        return [[(0, strings[0][3].count(b" ") + 2 - WINDOW, strings[0][2])]]
+    windows = [_window_digests(packed) for _, _, _, packed in strings]
+    counts = [len(w) for w in windows]
+    every, lows = np.concatenate(windows), np.repeat(np.array([s[2] for s in strings], np.int64), counts)
+    order = np.lexsort((lows, every[:, 1], every[:, 0]))
+    ranked = every[order]
+    new = np.append(True, (ranked[1:] != ranked[:-1]).any(axis=1))
+    first = np.empty(len(lows), np.int64)
+    first[order] = lows[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    return [[(a, b, int(own[a])) for a, b in runs(own)] for own in np.split(first, np.cumsum(counts)[:-1])]
+
+
+def large_bucket_runs(strings: DataFrame) -> DataFrame:
+    """(d1, d2, run) of the distinct strings (d1, d2, low, packed): runs of one window, sorted by Spark."""
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d1, d2, low, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = _window_digests(packed)
+                n = len(own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own[:, 0]), pa.array(own[:, 1]), *(pa.array(np.full(n, x), pa.int64()) for x in (low, d1, d2)), pa.array(np.arange(n), pa.int32())], ["w1", "w2", "low", "d1", "d2", "at"]
+                )
+
+    windows = written(strings.select("d1", "d2", "low", "packed").mapInArrow(unpacked, "w1 long, w2 long, low long, d1 long, d2 long, at int"), "large-buckets")
+    first = windows.groupBy("w1", "w2").agg(F.min("low").alias("low"))
+    return windows.drop("low").join(first, ["w1", "w2"]).select("d1", "d2", F.struct(F.col("at").alias("begin"), (F.col("at") + 1).alias("end"), "low").alias("run"))
 
 
 def window_runs(strings: DataFrame) -> DataFrame:
@@ -224,9 +247,15 @@ def window_runs(strings: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, hash, spans): per document the spans of words that a smaller document's window covers."""
     cut = written(super_kmers(docs, *repeated_minimisers(docs)), "super-kmers")
-    strings = cut.where(F.col("packed").isNotNull()).repartition("bucket").groupBy("bucket", "d1", "d2").agg(F.min("low").alias("low"), F.first("packed").alias("packed"))
-    occurrences = cut.where(F.col("packed").isNull()).select("id", "hash", "start", "d1", "d2")
-    placed = occurrences.join(window_runs(strings), ["d1", "d2"]).select("id", "hash", "start", F.explode("runs").alias("run")).where("run.low < id")
+    strings, occurrences = cut.where(F.col("packed").isNotNull()), cut.where(F.col("packed").isNull()).select("id", "hash", "start", "d1", "d2")
+    large = written(strings.groupBy("bucket").count().where(F.col("count") > LARGE).select("bucket"), "large-buckets")
+    some = not large.isEmpty()
+    one = lambda own: own.groupBy("bucket", "d1", "d2").agg(F.min("low").alias("low"), F.first("packed").alias("packed"))
+    small = strings.join(few(large), "bucket", "left_anti") if some else strings
+    found = window_runs(one(small.repartition("bucket"))).select("d1", "d2", F.explode("runs").alias("run"))
+    if some:
+        found = found.unionByName(large_bucket_runs(one(strings.join(few(large), "bucket", "left_semi"))))
+    placed = occurrences.join(found, ["d1", "d2"]).where("run.low < id")
     spans = placed.select("id", "hash", F.struct((F.col("start") + F.col("run.begin")).alias("begin"), (F.col("start") + F.col("run.end") - 1 + WINDOW).alias("end")).alias("span"))
     return spans.groupBy("id", "hash").agg(F.collect_set("span").alias("spans"))
 

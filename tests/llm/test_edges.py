@@ -402,9 +402,11 @@ def brute_removals(texts):
     return out
 
 
-@pytest.mark.parametrize("frequent", [2_000, 2])
-def test_windows_equal_brute_force(spark, monkeypatch, frequent):
+@pytest.mark.parametrize(("frequent", "large", "longest"), [(2_000, 2_000, 256), (2, 2_000, 256), (2_000, 1, 7)])
+def test_windows_equal_brute_force(spark, monkeypatch, frequent, large, longest):
     monkeypatch.setattr(substrings, "FREQUENT", frequent)
+    monkeypatch.setattr(substrings, "LARGE", large)
+    monkeypatch.setattr(substrings, "LONGEST", longest)
     rng = np.random.default_rng(4)
     passage = [f"p{i}" for i in range(70)]
     phrase = "this very common phrase stands in all of them".split()
@@ -413,7 +415,7 @@ def test_windows_equal_brute_force(spark, monkeypatch, frequent):
         words = [f"r{x}" for x in rng.integers(0, 10_000, size=rng.integers(0, 150))]
         at, cut = rng.integers(0, len(words) + 1), rng.integers(0, 25)
         texts.append("\n".join([*words[:at], *passage[cut:], *phrase, *words[at:]]))
-    texts += [texts[3], None, " ".join(passage * 3)]
+    texts += [texts[3], None, " ".join(passage * 3), "again " * 300, "again " * 400]
     rows = [tuple(r)[1:] for r in substrings.removals(docs(spark, texts)).orderBy("doc_id").collect()]
     assert rows == brute_removals(texts)
 
