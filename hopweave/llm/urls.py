@@ -6,9 +6,10 @@ mistake, level 3 the listed ones that level 2 lets through, and so on until
 nothing passes by mistake.  A key is judged by the first level it fails, or by
 the last level if it fails none; no join with the list takes place.
 
-Keys are cut into shards of a bounded number of bits.  While all shards fit
-CASCADE_BYTES, the cascade enters the plan as a scalar subquery; a larger one
-joins the pages by shard.  Only DataFrame functions are used.
+Keys are cut into shards of a bounded number of bits.  Filters enter the plan
+as scalar subqueries, as many shards at once as fit CASCADE_BYTES; a larger
+cascade takes one pass over the rows for each such group of shards, in which
+the rows of these shards are judged.  Only DataFrame functions are used.
 
 Rules (host, path prefix) go first: a rule fits its host and all subdomains if
 the path starts with the rule's; the longest wins.
@@ -21,6 +22,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +34,7 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 BITS_PER_KEY, HASHES = 12, 4
 #: Listed keys a shard is planned for: at most 2^17 words of 64 bits a level.
 SHARD_KEYS = 500_000
-#: Size up to which the cascade is one value of the plan.
+#: Filters that are one value of the plan: at least one shard, or as many as fit.
 CASCADE_BYTES = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,6 +66,7 @@ class Cascade:
         self.shards = max(1, -(-listed // shard_keys))
         left = universe.select("key", "listed", self._shard(F.col("key")).alias("shard"))
         self.words: list[int] = []
+        self.bytes = cascade_bytes
         levels = []
         encode = True
         while True:
@@ -79,7 +83,8 @@ class Cascade:
             arrays = filled.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "mask"))), lambda x: x["mask"]).alias("filter"))
             levels.append(written(arrays.withColumn("level", F.lit(level)), "bloom-level"))
             fooled = left.where(F.col("listed") != encode)
-            passing = fooled.join(F.broadcast(levels[-1]) if self.shards == 1 else levels[-1], "shard").where(self._passes(F.col("key"), F.col("filter"), level)).select("key", "listed", "shard")
+            fits = lambda rows, words, level=level: rows.where(self._passes(F.col("key"), words, level))
+            passing = self._by_group(fooled, F.col("shard"), levels[-1], "filter", words, fits)
             # the next level has to encode what passes by mistake and to spare what this level encodes
             left = written(passing.unionByName(members.select("key", "listed", "shard")), "bloom-keys")
             encode = not encode
@@ -91,7 +96,19 @@ class Cascade:
                 stacked = stacked.unionByName(more)
             own = F.transform(F.array_sort(F.collect_list(F.struct("level", "filter"))), lambda x: x["filter"])
             self.filters = written(stacked.groupBy("shard").agg(own.alias("filters")), "bloom-cascade")
-        self.small = 8 * self.shards * sum(self.words) <= cascade_bytes
+
+    def _by_group(self, rows: DataFrame, shard: Column, filters: DataFrame, column: str, words: int, judged: Callable[[DataFrame, Column], DataFrame]) -> DataFrame:
+        """``judged(rows, filters of their shard)``, for as many shards at once as fit; ``words`` is the size of one."""
+        group = max(1, self.bytes // (8 * words))
+        done = None
+        for low in range(0, self.shards, group):
+            some = filters.where(F.col("shard").between(low, low + group - 1))
+            value = some.agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", column))), lambda x: x[column]).alias("f")).scalar()
+            if group >= self.shards:
+                return judged(rows, F.get(value, shard))
+            part = written(judged(rows.where(shard.between(low, low + group - 1)), F.get(value, shard - low)), "bloom-group")
+            done = part if done is None else done.unionByName(part)
+        return done
 
     def _shard(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(F.lit("shard"), key), F.lit(self.shards)).cast("int")
@@ -116,12 +133,7 @@ class Cascade:
         """Adds the boolean column ``name``: whether the key is listed."""
         if not self.depth:
             return rows.withColumn(name, F.lit(False))
-        if self.small:
-            every = self.filters.agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "filters"))), lambda x: x["filters"]).alias("f")).scalar()
-            # shards without a key are missing only if no shard but the first exists
-            return rows.withColumn(name, self._judge(key, F.get(every, self._shard(key))))
-        own = self.filters.select(F.col("shard").alias("__shard"), F.col("filters").alias("__filters"))
-        return rows.withColumn("__own", self._shard(key)).join(own, F.col("__own") == F.col("__shard")).withColumn(name, self._judge(key, F.col("__filters"))).drop("__own", "__shard", "__filters")
+        return self._by_group(rows, self._shard(key), self.filters, "filters", sum(self.words), lambda some, filters: some.withColumn(name, self._judge(key, filters)))
 
 
 def page_keys(pages: DataFrame) -> DataFrame:
