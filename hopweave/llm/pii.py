@@ -1,12 +1,15 @@
 """Personal data by weak supervision (operator 3).
 
-Base spans (email, ip, card, phone) are matched exactly.  Beyond them, words
-that hold a digit or an at sign are candidates.  Five labelers, of patterns, a
-gazetteer of words that announce private values, context, shape and the base
-matches, vote yes, no or abstain on each.  Expectation-maximisation estimates
-how reliable each labeler is from how often vote patterns occur over the whole
-corpus; its posteriors train a logistic span classifier on surface features,
-which adds spans of the kind ``suspect`` where no base span lies.
+Base spans (email, ip, card, phone) are matched exactly.  Elsewhere three
+sorts of words are candidates: those that hold a digit or an at sign, values
+that follow an announcing word and a colon or equals sign, and capitalised
+words after a title.  Five labelers vote yes, no or abstain on each: the
+pattern of the word, gazetteers of announcing and harmless words and titles,
+the context, how often letters and digits alternate, and whether it is made of
+natural letters or of none.  Expectation-maximisation estimates how reliable
+each labeler is from how often vote patterns occur over the whole corpus; its
+posteriors train a logistic span classifier on features of the word and its
+place, which adds spans of the kind ``suspect``.
 
 The driver sees counts of (votes, features), at most 3^5 * 2^8 rows.
 
@@ -41,6 +44,7 @@ _DIGITS = re.compile(r"[0-9]+")
 _IP = re.compile(r"([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_SPACE = re.compile(r"\s")
 
 
 def luhn(digits: str) -> bool:
@@ -84,18 +88,26 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-# Words that announce a private value, and words that announce a harmless number.
-ANNOUNCING = frozenset("account api apikey bearer call card contact credential email iban id key login mail mobile passport password phone pin pwd secret ssn tel telephone token user".split())
-HARMLESS = frozenset("by-nc by-sa cc chapter figure gpl license page section table version volume".split())
-_PUNCTUATION = ".,;:!?\"'()[]{}<>|"
+# Words that announce a private value, words that announce a harmless number, titles of people.
+ANNOUNCING = frozenset("account api apikey bearer credential iban key login passport passwd password passwort pin pwd secret ssn token username".split())
+HARMLESS = frozenset("art article by by-nc by-sa cc chapter chapitre figure gpl kapitel license page section seite table version volume".split())
+TITLES = ("Dr", "Frau", "Herr", "Mme", "Mr", "Mrs", "Ms", "Prof", "Señor", "Señora")
+_PUNCTUATION = ".,;:!?\"'()[]{}<>|#%&*$"
 _YES, _NO, _ABSTAIN = 1, 0, 2
-_HEX = re.compile(r"[0-9a-fA-F]{16,}")
+_MARKED = re.compile(r"([A-Za-z]+)[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"']+)")
+_NAMED = re.compile(rf"\b(?:{'|'.join(TITLES)})\b\.?[ ]((?!\d)[^\W_]\w+(?: (?!\d)[^\W_]\w+)?)")
+_NUMERIC = re.compile(r"[^\w@]*[0-9][0-9.,:/+()-]*[^\w@]*")
+_SECRET = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_+/=-]{12,}")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_ALTERNATIONS = re.compile(r"[0-9](?=[^\W\d_])|[^\W\d_](?=[0-9])")
 LABELERS = 5
 FEATURES = 8
 
 
-def candidates(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, word, what stands before it): words with a digit or an at sign, bare of punctuation."""
+def candidates(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, whether a title precedes) of the candidates of a text, in order; none overlap."""
+    found: dict[int, tuple[int, bool]] = {}
+    marked: dict[int, int] = {}
     free = 0
     for match in re.finditer(r"[0-9@]", text):
         if match.start() < free:
@@ -103,33 +115,51 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, str]]:
         start = end = match.start()
         while start > free and not text[start - 1].isspace():
             start -= 1
-        gap = re.compile(r"\s").search(text, end)
-        end = gap.start() if gap else len(text)
-        free = end
+        gap = _SPACE.search(text, end)
+        free = end = gap.start() if gap else len(text)
         word = text[start:end]
         bare = word.strip(_PUNCTUATION)
         if bare:
             at = start + len(word) - len(word.lstrip(_PUNCTUATION))
-            yield at, at + len(bare), bare, text[max(0, at - 40) : at]
-
-
-def judge(word: str, before: str, in_base: bool) -> tuple[tuple[int, ...], tuple[int, ...]]:
+            found[at] = (at + len(bare), False)
+    if ":" in text or "=" in text:
+        for match in _MARKED.finditer(text):
+            if match[1].lower() in ANNOUNCING and (bare := match[2].strip(_PUNCTUATION)):
+                at = match.start(2) + len(match[2]) - len(match[2].lstrip(_PUNCTUATION))
+                marked[at] = at + len(bare)
+    for match in _NAMED.finditer(text):
+        if all(w[0].isupper() for w in match[1].split(" ")):
+            found.setdefault(match.start(1), (match.end(1), True))
+    spans: list[tuple[int, int, bool]] = []
+    values = sorted(marked.items())
+    at = 0
+    for start, (end, named) in sorted(found.items()):
+        while at < len(values) and values[at][1] <= start:
+            at += 1
+        beside = at == len(values) or values[at][0] >= end
+        if beside and (not spans or start >= spans[-1][1]):
+            spans.append((start, end, named))
+    return sorted([*spans, *((a, b, False) for a, b in values)])
+
+
+def judge(text: str, start: int, end: int, named: bool) -> tuple[tuple[int, ...], tuple[int, ...]]:
     """(votes of the labelers, features) of a candidate."""
-    digits = sum("0" <= c <= "9" for c in word)
-    letters = sum(map(str.isalpha, word))
+    word, before = text[start:end], text[max(0, start - 40) : start]
     words = [w.strip(_PUNCTUATION + "=") for w in before.lower().split()[-3:]]
-    mark = before.rstrip()[-1:]
     announced, harmless = any(w in ANNOUNCING for w in words), any(w in HARMLESS for w in words)
-    quoted = before[-1:] in ('"', "'")
-    hexes = bool(_HEX.fullmatch(word))
+    mark = before.rstrip(" \t\"'")[-1:] in ("=", ":")
+    quoted = before[-1:] in ('"', "'") and text[end : end + 1] == before[-1:]
+    numeric, secret = _NUMERIC.fullmatch(word) is not None, _SECRET.fullmatch(word) is not None
+    runs = [len(m) for m in _LETTERS.findall(word)]
+    alternations = len(_ALTERNATIONS.findall(word))
     votes = (
-        _YES if hexes or digits >= 9 or "@" in word else _NO if len(word) <= 4 else _ABSTAIN,
-        _YES if announced else _NO if harmless else _ABSTAIN,
-        _YES if mark in ("=", ":") or quoted and len(word) > 6 else _NO if letters and digits <= 2 else _ABSTAIN,
-        _YES if len(word) >= 16 and digits and letters else _NO if digits <= 4 else _ABSTAIN,
-        _YES if in_base else _ABSTAIN,
+        _YES if secret or "@" in word else _NO if numeric else _ABSTAIN,
+        _YES if announced or named else _NO if harmless else _ABSTAIN,
+        _YES if mark or quoted or named else _NO,
+        _YES if alternations >= 4 else _NO if alternations <= 1 and not named else _ABSTAIN,
+        _YES if len(word) >= 12 and runs and max(runs) <= 6 else _NO if not runs else _ABSTAIN,
     )
-    features = (len(word) > 4, len(word) > 8, len(word) > 15, digits * 2 > len(word), letters > 0, "@" in word, hexes, quoted or announced)
+    features = (len(word) > 7, len(word) > 15, bool(runs) and alternations > 0, numeric, announced, mark, quoted, named)
     return votes, tuple(map(int, features))
 
 
@@ -149,18 +179,23 @@ def _decode(code: int) -> tuple[list[int], list[int]]:
 
 
 def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
-    """EM over vote patterns: (posterior of each, P(vote | class) by labeler, share of private ones)."""
+    """EM over vote patterns: (posterior of each, P(vote | class) by labeler, share of private ones).
+
+    The first tables say that labelers are right more often than wrong; they
+    stay in the estimate with a tenth of the weight of the rows, so a class
+    that the corpus lacks is not made up.
+    """
     share = 0.3
-    tables = np.full((LABELERS, 2, 3), 0.15)
-    tables[:, 0, _NO], tables[:, 1, _YES], tables[:, :, _ABSTAIN] = 0.5, 0.5, 0.35
-    posterior = np.full(len(counts), share)
+    prior = np.full((LABELERS, 2, 3), 0.1)
+    prior[:, 0, _NO], prior[:, 1, _YES], prior[:, :, _ABSTAIN] = 0.6, 0.6, 0.3
+    tables, weight = prior.copy(), 1 + 0.1 * counts.sum()
     for _ in range(rounds):
         logs = np.stack([np.log([1 - share, share][c]) + sum(np.log(tables[i, c, votes[:, i]]) for i in range(LABELERS)) for c in (0, 1)])
         posterior = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
         share = float(np.clip((posterior * counts).sum() / counts.sum(), 0.01, 0.99))
         for c, mass in ((0, (1 - posterior) * counts), (1, posterior * counts)):
             for i in range(LABELERS):
-                seen = np.bincount(votes[:, i], weights=mass, minlength=3) + 0.5
+                seen = np.bincount(votes[:, i], weights=mass, minlength=3) + weight * prior[i, c]
                 tables[i, c] = seen / seen.sum()
     return posterior, tables, share
 
@@ -175,8 +210,16 @@ def train(features: np.ndarray, posterior: np.ndarray, counts: np.ndarray, round
     return weights
 
 
-def _covered(spans: list[tuple[str, int, int]], start: int, end: int) -> bool:
-    return any(a < end and start < b for _, a, b in spans)
+def free_candidates(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, bool]]:
+    """The candidates of a text that touch none of its base spans; both lists are walked once."""
+    taken = sorted((a, b) for _, a, b in spans)
+    at = reach = 0
+    for start, end, named in candidates(text):
+        while at < len(taken) and taken[at][0] < end:
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach <= start:
+            yield start, end, named
 
 
 def fit(docs: DataFrame) -> np.ndarray:
@@ -187,9 +230,8 @@ def fit(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    spans = base_spans(text)
-                    for start, end, word, before in candidates(text):
-                        seen[_code(*judge(word, before, _covered(spans, start, end)))] += 1
+                    for start, end, named in free_candidates(text, base_spans(text)):
+                        seen[_code(*judge(text, start, end, named))] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["code", "n"])
 
     parts = docs.select("text").mapInArrow(in_batches(counted, 512), "code long, n long")
@@ -215,11 +257,10 @@ def find(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 counts.append([own[kind] for kind in KINDS])
                 listed = [f"{kind}:{start}:{end}" for kind, start, end in spans]
                 digests.append(hashlib.sha256(",".join(listed).encode()).hexdigest())
-                for start, end, word, before in candidates(text or ""):
-                    if not _covered(spans, start, end):
-                        _, features = judge(word, before, False)
-                        if np.dot(weights, [*features, 1]) > 0:
-                            listed.append(f"{ADDED}:{start}:{end}")
+                for start, end, named in free_candidates(text or "", spans):
+                    _, features = judge(text, start, end, named)
+                    if np.dot(weights, [*features, 1]) > 0:
+                        listed.append(f"{ADDED}:{start}:{end}")
                 every.append(",".join(listed))
             numbers = np.array(counts, np.int64).reshape(-1, len(KINDS))
             yield pa.RecordBatch.from_arrays(
