@@ -7,11 +7,16 @@ treats null as the reference behaviour asks for.  Patterns use Java's syntax;
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ASSISTANT_START, TURN_END = "<|im_start|>assistant", "<|im_end|>"
-SPACES = r"\s+"
+#: White space as the reference's language knows it: also the separators of ASCII and Unicode.
+SPACES = r"[\s\x1c-\x1f\x85\p{Z}]+"
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 # Patterns of the option letter inside a candidate text.
 PUNCTUATED = r"(?i)\(([A-D])\)|\[([A-D])\]|(?<![A-Za-z])([A-D])[.)\]]"
@@ -19,6 +24,11 @@ STANDALONE = r"(?<![A-Za-z])([A-D])(?![A-Za-z])"
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def strip(text: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.btrim(text, F.lit(WHITE))
+
+
 def squeeze(text: Column) -> Column:
     """Trims and collapses white space."""
     return F.trim(F.regexp_replace(text, SPACES, " "))
@@ -49,7 +59,7 @@ def mcq_letter(text: Column) -> Column:
     """
     body = after_reasoning(text)
     tagged = last_match(body, r"(?s)<answer>(.*?)</answer>")
-    boxed = F.trim(F.regexp_extract(body, r"(?i)\\boxed\{([^}]+)\}", 1))
+    boxed = strip(F.regexp_extract(body, r"(?i)\\boxed\{([^}]+)\}", 1))
     bold = F.try_element_at(F.filter(F.regexp_extract_all(body, F.lit(r"\*\*[^*]+\*\*"), F.lit(0)), lambda s: s.rlike(r"(?i)\([A-D]\)")), F.lit(-1))
     loose = F.coalesce(
         last_match(body, r"(?i)Answer:\s*\(([A-D])\)"),
@@ -59,7 +69,7 @@ def mcq_letter(text: Column) -> Column:
         last_match(body, r"(?i)(?<![A-Za-z])([A-D])[)\]]"),
         last_match(body, STANDALONE),
     )
-    return F.when(text.isNull() | (text == ""), F.lit(None).cast("string")).when(tagged.isNotNull(), _letter_in(F.trim(tagged))).when(boxed.rlike("[A-Da-d]"), _letter_in(boxed)).otherwise(F.upper(loose))
+    return F.when(text.isNull() | (text == ""), F.lit(None).cast("string")).when(tagged.isNotNull(), _letter_in(strip(tagged))).when(boxed.rlike("[A-Da-d]"), _letter_in(boxed)).otherwise(F.upper(loose))
 
 
 def letter_correct(letter: Column, golds: Column) -> Column:
@@ -70,7 +80,7 @@ def free_answer(text: Column) -> Column:
     """Free-form answer: the last ``<answer>``, else the text up to the end of the turn."""
     body = after_reasoning(text)
     whole = F.try_element_at(F.split(body, r"\Q" + TURN_END + r"\E"), F.lit(1))
-    return F.coalesce(F.trim(F.coalesce(last_match(body, r"(?s)<answer>(.*?)</answer>"), whole)), F.lit(""))
+    return F.coalesce(strip(F.coalesce(last_match(body, r"(?s)<answer>(.*?)</answer>"), whole)), F.lit(""))
 
 
 def normalize_answer(text: Column) -> Column:
@@ -91,12 +101,12 @@ def judge_score(verdict: Column) -> Column:
 
 def tool_call(text: Column, schema: str = "name string, arguments map<string,string>") -> Column:
     """The first tool call, parsed; null if there is none or it is no JSON."""
-    body = F.nullif(F.trim(F.regexp_extract(text, r"(?s)<tool_call>(.*?)</tool_call>", 1)), F.lit(""))
+    body = F.nullif(strip(F.regexp_extract(text, r"(?s)<tool_call>(.*?)</tool_call>", 1)), F.lit(""))
     return F.from_json(body, schema)
 
 
 def strip_think(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""))
+    return strip(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""))
 
 
 def cache_key(query: Column, **settings: object) -> Column:
@@ -121,7 +131,7 @@ def html_text(html: Column, dropped: tuple[str, ...] = ("script", "style")) -> C
     body = F.regexp_replace(F.regexp_replace(body, r"(?s)<!--.*?-->|<![^>]*>", "\n"), "(?s)<[^>]+>", "\n")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         body = F.replace(body, F.lit(entity), F.lit(char))
-    nodes = F.filter(F.transform(F.split(body, "\n"), lambda n: F.trim(n)), lambda n: n != "")
+    nodes = F.filter(F.transform(F.split(body, "\n"), strip), lambda n: n != "")
     return F.nullif(F.array_join(nodes, "\n"), F.lit(""))
 
 
@@ -140,7 +150,7 @@ def highlight(text: Column, tags: tuple[str, ...] = ("think", "answer", "tool_ca
 
 
 def page_title(html: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
+    return F.nullif(strip(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
 
 
 def page_body(html: Column) -> Column:
@@ -180,20 +190,33 @@ def norm_entity(name: Column) -> Column:
 
 
 def strip_fence(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```\w*\n?", ""), r"\n?```$", ""))
+    return strip(F.regexp_replace(F.regexp_replace(strip(text), r"^```\w*\n?", ""), r"\n?```$", ""))
 
 
 def fenced(text: Column) -> Column:
     """What stands inside the first code fence, else the text."""
     inner = F.regexp_extract(text, r"(?s)```(?:\w+)?\s*(.*?)\s*```", 1)
-    return F.coalesce(F.nullif(inner, F.lit("")), F.trim(text))
+    return F.coalesce(F.nullif(inner, F.lit("")), strip(text))
+
 
+def _balanced(depth: int) -> str:
+    inner = r"[^{}]*"
+    for _ in range(depth):
+        inner = rf"[^{{}}]*+(?:\{{{inner}\}}[^{{}}]*+)*+"
+    return rf"\{{{inner}\}}"
 
-def json_slice(text: Column) -> Column:
-    """From the first brace to the last; a cut-off object keeps its tail."""
+
+def json_slice(text: Column, depth: int = 8) -> Column:
+    """The object of a response.
+
+    Inside a code fence it ends where its braces balance (up to ``depth``
+    levels); elsewhere, and where they never do, it goes from the first brace
+    to the last; a cut-off object keeps its tail.
+    """
     body = fenced(text)
     start, closed = F.instr(body, "{"), F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    return F.when(start > 0, F.coalesce(F.nullif(closed, F.lit("")), F.substr(body, start)))
+    counted = F.when(F.contains(text, F.lit("```")), F.nullif(F.regexp_extract(body, rf"(?s)^[^{{]*({_balanced(depth)})", 1), F.lit("")))
+    return F.when(start > 0, F.coalesce(counted, F.nullif(closed, F.lit("")), F.substr(body, start)))
 
 
 def json_field(text: Column, field: str, default: str = "unknown") -> Column:
@@ -212,7 +235,7 @@ def json_objects(text: Column, schema: str) -> Column:
 def entity_lines(text: Column) -> Column:
     """Names of a list, one a line, without numbering and bullets; at least two characters."""
     lines = F.split(strip_fence(text), "\n")
-    bare = F.transform(lines, lambda x: F.trim(F.regexp_replace(F.trim(x), r"^(?:\d+[.)]|[-•])\s*", "")))
+    bare = F.transform(lines, lambda x: strip(F.regexp_replace(strip(x), r"^(?:\d+[.)]|[-•])\s*", "")))
     return F.filter(bare, lambda x: (F.length(x) >= 2) & ~x.rlike(r"\p{Cntrl}"))
 
 
@@ -283,7 +306,7 @@ def by_keywords(text: Column, keywords: dict[str, list[str]], otherwise: str) ->
     """The first class one of whose keywords occurs in the lower-cased text."""
     low, out = F.lower(text), F.lit(otherwise)
     for name, words in reversed(keywords.items()):
-        out = F.when(low.rlike("|".join(words)), name).otherwise(out)
+        out = F.when(reduce(or_, (F.contains(low, F.lit(word)) for word in words)), name).otherwise(out)
     return out
 
 
@@ -344,4 +367,4 @@ def transcript(parts: Column) -> Column:
 def first_user_question(prompt: Column) -> Column:
     """The first user message without image marks."""
     content = F.try_element_at(F.filter(prompt, lambda m: m["role"] == "user"), F.lit(1))["content"]
-    return F.trim(F.replace(F.coalesce(content, F.lit("")), F.lit("<image>"), F.lit("")))
+    return strip(F.replace(F.coalesce(content, F.lit("")), F.lit("<image>"), F.lit("")))

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def last_wins(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """One row a key: the last by ``order``."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("__place", place).where("__place = 1").drop("__place")
+def last_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One row a key: the largest by ``order``, nulls smallest; combined in each task before rows move."""
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct(*[F.col(c) for c in order])).alias("__row"))
+    return best.select("__row.*")
 
 
 def upsert(store: DataFrame, rows: DataFrame, key: str = "key", stamp: str = "created_at") -> DataFrame:
     """The store after an insert-or-replace; among equal stamps the larger value wins."""
     both = store.unionByName(rows.select(*store.columns))
-    rest = [F.col(c).desc_nulls_last() for c in store.columns if c not in (key, stamp)]
-    return last_wins(both, key, [F.col(stamp).desc_nulls_last(), *rest])
+    return last_wins(both, key, [stamp, *(c for c in store.columns if c not in (key, stamp))])
 
 
 def lookup(requests: DataFrame, store: DataFrame, key: str = "key", value: str = "value") -> DataFrame:

@@ -48,15 +48,24 @@ def ablation_results(items: DataFrame, answers: DataFrame) -> DataFrame:
     return known.withColumns({"solver_correct": right, "condition_critical": ~right})
 
 
-def ablation_summary(results: DataFrame) -> DataFrame:
-    """Per question its critical and redundant conditions and the share of the redundant."""
+def ablation_summary(results: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """Per question its critical and redundant conditions and the share of the redundant.
+
+    With ``questions`` (question_id) also those without conditions: none critical, share 0.
+    """
     listed = lambda keep: F.array_sort(F.collect_list(F.when(keep, F.col("condition_index"))))
-    return results.groupBy("question_id").agg(
+    found = results.groupBy("question_id").agg(
         listed(F.col("condition_critical")).alias("critical"),
         listed(~F.col("condition_critical")).alias("redundant"),
         F.avg((~F.col("condition_critical")).cast("double")).alias("redundancy_ratio"),
         F.count("*").alias("total"),
     )
+    if questions is None:
+        return found
+    none = F.array().cast("array<int>")
+    return questions.select("question_id").distinct().join(found, "question_id", "left").select(
+        "question_id", F.coalesce("critical", none).alias("critical"), F.coalesce("redundant", none).alias("redundant"), F.coalesce("redundancy_ratio", F.lit(0.0)).alias("redundancy_ratio"), F.coalesce("total", F.lit(0)).alias("total")
+    )
 
 
 def judge_report(reports: DataFrame, text: str = "text") -> DataFrame:
@@ -88,10 +97,13 @@ def entities_in(questions: DataFrame, entities: DataFrame) -> DataFrame:
     """(question_id, entity): names that occur in a question, or half of whose words do.
 
     Joins on words instead of comparing every pair: a name can only match where
-    one of its words occurs.
+    one of its words occurs.  Questions are read again only for names that
+    might occur with their first or last word cut.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    asked = questions.select("question_id", F.lower("question").alias("low"), F.explode(words(F.col("question"))).alias("word"))
+    asked = questions.select("question_id", F.explode(words(F.col("question"))).alias("word"))
     named = entities.select("entity", F.size(words(F.col("entity"))).alias("n"), F.explode(words(F.col("entity"))).alias("word"))
-    shared = asked.join(named, "word").groupBy("question_id", "entity").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("low").alias("low"))
-    return shared.where(F.contains("low", F.lower("entity")) | ((F.col("n") >= 2) & (F.col("shared") * 2 >= F.col("n")))).select("question_id", "entity")
+    shared = asked.join(named, "word").groupBy("question_id", "entity").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    half = (F.col("n") >= 2) & (F.col("shared") * 2 >= F.col("n"))
+    maybe = shared.where(~half).join(questions.select("question_id", "question"), "question_id").where(F.contains(F.lower("question"), F.lower("entity")))
+    return shared.where(half).select("question_id", "entity").unionByName(maybe.select("question_id", "entity"))

@@ -44,8 +44,8 @@ def long(x: Column) -> Column:
 #: Four shapes of a marked answer by conv_id % 4, on top of the conversation's text.
 _LETTER = "substr('ABCD', CAST(conv_id % 4 AS INT) + 1, 1)"
 _MARKED = f"""concat('<|im_start|>assistant\n<think>(D)</think>', CASE CAST(turn % 6 AS INT)
-    WHEN 0 THEN concat('<answer>', {_LETTER}, '</answer>') WHEN 1 THEN concat('so \\boxed{{', {_LETTER}, '}}') WHEN 2 THEN concat('Answer: (', {_LETTER}, ')')
-    WHEN 3 THEN concat('the answer is (', {_LETTER}, ').') WHEN 4 THEN concat('I choose **', '(', {_LETTER}, ')** here (x)') ELSE concat('<answer>none of them</answer> (', {_LETTER}, ')') END, '<|im_end|>')"""
+    WHEN 0 THEN concat('<answer>\n\t', {_LETTER}, '\n</answer>') WHEN 1 THEN concat('so \\boxed{{', {_LETTER}, '}}') WHEN 2 THEN concat('Answer: (', {_LETTER}, ')')
+    WHEN 3 THEN concat('the answer is (', {_LETTER}, ').') WHEN 4 THEN concat('I choose **', '(', {_LETTER}, ')** here (x)') ELSE concat('<answer>none of them</answer> (', {_LETTER}, ')') END, '\n<|im_end|>')"""
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ def tool_call_parse(spark, sf_dir):
 
 @query("SELECT conv_id, turn, trim(role || ' ' || CAST(turn AS VARCHAR)) AS shown FROM conversations")
 def strip_think(spark, sf_dir):
-    text = F.concat(F.lit("<think>"), "text", F.lit("</think>"), "role", F.lit(" <THINK>a\nb</think>"), F.col("turn").cast("string"))
+    text = F.concat(F.lit("<think>"), "text", F.lit("</think>\n\t"), "role", F.lit(" <THINK>a\nb</think>"), F.col("turn").cast("string"))
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.strip_think(text).alias("shown"))
 
 
@@ -177,7 +177,7 @@ SELECT count(s.key) AS hits, count(*) - count(s.key) AS misses, round(count(s.ke
 """)
 def cache_stats(spark, sf_dir):
     rows = _store(spark, sf_dir)
-    stored = keyed.last_wins(rows.where("cast(value AS bigint) % 2 = 0"), "key", [F.col("created_at").desc(), F.col("value")])
+    stored = keyed.last_wins(rows.where("cast(value AS bigint) % 2 = 0"), "key", ["created_at", "value"])
     return keyed.hit_stats(keyed.lookup(rows.select("key"), stored)).withColumn("hit_rate", F.round("hit_rate", 6))
 
 
@@ -301,7 +301,7 @@ def leak_check(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", P.leaks_answer(F.col("text"), answer).alias("leaks"))
 
 
-@query("SELECT doc_id, CASE WHEN 1200 + doc_id % 900 < 2030 THEN replace(left(text, 200) || CAST(1200 + doc_id % 900 AS VARCHAR), CAST(1200 + doc_id % 900 AS VARCHAR), '[YEAR]') ELSE left(text, 200) || CAST(1200 + doc_id % 900 AS VARCHAR) END AS masked FROM documents")
+@query("SELECT doc_id, CASE WHEN 1200 + doc_id % 900 < 2030 THEN replace(text || CAST(1200 + doc_id % 900 AS VARCHAR), CAST(1200 + doc_id % 900 AS VARCHAR), '[YEAR]') ELSE text || CAST(1200 + doc_id % 900 AS VARCHAR) END AS masked FROM documents")
 def leak_sanitize(spark, sf_dir):
     year = (F.col("doc_id") % 900 + 1200).cast("string")
     return read(spark, sf_dir, "documents").select("doc_id", P.mask_years(F.concat("text", year), F.concat(F.lit("in "), year)).alias("masked"))
@@ -533,7 +533,7 @@ def training_export(spark, sf_dir):
 
 @query("""
 WITH w AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS word FROM documents),
-e AS (SELECT DISTINCT lang || ' ' || source AS entity, lang, source FROM documents WHERE doc_id % 50 = 0), n AS (SELECT entity, unnest([lang, source]) AS word FROM e)
+e AS (SELECT DISTINCT lang || ' ' || source AS entity, lang, source FROM documents), n AS (SELECT entity, unnest([lang, source]) AS word FROM e)
 SELECT doc_id, entity FROM w JOIN n ON w.word = n.word GROUP BY doc_id, entity
 """)
 def entity_in_question(spark, sf_dir):

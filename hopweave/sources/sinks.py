@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopweave.functions.text import highlight, redact
+from hopweave.functions.text import highlight, html_escape, redact
 
 #: Columns that never reach the results.
 UNSAVED = ("saved_images", "tool_calls")
@@ -54,6 +54,17 @@ def call_log(calls: DataFrame) -> DataFrame:
 
 
 def viewer(results: DataFrame, most: int = 200) -> str:
-    """A self-contained HTML page of at most ``most`` results (a report, not the sink)."""
-    shown = results.orderBy("sample_id").limit(most).select("sample_id", highlight(F.col("output")).alias("body")).collect()
-    return "<!doctype html><meta charset=utf-8>" + "".join(f"<h2>{r['sample_id']}</h2><div>{r['body']}</div>" for r in shown)
+    """A self-contained HTML page of at most ``most`` results (a report, not the sink).
+
+    Image marks become images of the column ``images`` if there is one; other
+    columns are listed below: numbers with four decimals, strings under 200 characters.
+    """
+    kinds = dict(results.dtypes)
+    shown = {c: F.format_string("%.4f", c) if kinds[c] in ("double", "float") else F.when(F.length(c) < 200, html_escape(F.col(c))) for c in results.columns if kinds[c] in ("double", "float", "string") and c not in ("sample_id", "output")}
+    body = highlight(F.col("output"))
+    if "images" in results.columns:
+        marks = F.transform("images", lambda source, i: F.struct(F.concat(F.lit("[IMAGE "), (i + 1).cast("string"), F.lit("]")).alias("mark"), source.alias("source")))
+        body = F.aggregate(marks, body, lambda text, m: F.replace(text, m["mark"], F.concat(F.lit('<img src="'), html_escape(m["source"]), F.lit('">'))))
+    facts = F.concat_ws("<br>", *[F.concat(F.lit(f"{c}: "), value) for c, value in shown.items()])
+    rows = results.orderBy("sample_id").limit(most).select(html_escape(F.col("sample_id")).alias("id"), body.alias("body"), facts.alias("facts")).collect()
+    return "<!doctype html><meta charset=utf-8>" + "".join(f"<h2>{r['id']}</h2><div>{r['body']}</div><p>{r['facts']}</p>" for r in rows)
