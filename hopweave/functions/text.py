@@ -229,7 +229,7 @@ def json_field(text: Column, field: str, default: str = "unknown") -> Column:
 def json_objects(text: Column, schema: str) -> Column:
     """All objects of a broken JSON array, those that do not parse left out."""
     found = F.regexp_extract_all(text, F.lit(r"\{[^{}]*(?:\{[^{}]*\})?[^{}]*\}"), F.lit(0))
-    return F.filter(F.transform(found, lambda o: F.from_json(o, schema)), lambda o: o.isNotNull())
+    return F.transform(F.filter(found, lambda o: F.try_parse_json(o).isNotNull()), lambda o: F.from_json(o, schema))
 
 
 def entity_lines(text: Column) -> Column:

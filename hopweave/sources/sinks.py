@@ -31,6 +31,27 @@ def write_stage(rows: DataFrame, folder: str, stage: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{stage}")
 
 
+def final_results(stages: dict[str, DataFrame], statistics: dict, errors: list[str], folder: str, at: str) -> str:
+    """Writes every stage as JSON lines below ``folder``; returns the envelope: counts, statistics, errors, where the rows are."""
+    out: dict = {"generated_at": at, "statistics": statistics, "errors": errors}
+    for name, rows in stages.items():
+        rows.write.mode("overwrite").json(f"{folder}/{name}")
+        out[f"{name}_count"], out[name] = rows.sparkSession.read.schema(rows.schema).json(f"{folder}/{name}").count(), f"{folder}/{name}"
+    return json.dumps(out, ensure_ascii=False, indent=2)
+
+
+def write_new(rows: DataFrame, written: DataFrame, key: str, path: str) -> None:
+    """Appends the rows whose key is not written yet: a snapshot grows by what is new."""
+    rows.join(written.select(key), key, "left_anti").write.mode("append").json(path)
+
+
+def console_summary(counts: DataFrame, scores: DataFrame, errors: list[str], most: int = 5) -> str:
+    """The lines a run ends with: a count a stage, mean scores, the first errors."""
+    lines = [f"{r['stage']}: {r['n']}" for r in counts.orderBy("stage").collect()]
+    lines += [f"{name}: {value:.3f}" for name, value in scores.first().asDict().items() if value is not None]
+    return "\n".join(lines + [f"error: {e}" for e in errors[:most]])
+
+
 def or_default(column: str, default: Column) -> Column:
     return F.coalesce(F.col(column), default).alias(column)
 
