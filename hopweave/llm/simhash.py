@@ -244,16 +244,20 @@ def _all_pairs(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     they share there is room for the rest: pairs without that are none.
     """
     own = apart.groupBy("me", "root").agg(F.collect_set("key").alias("keys")).withColumn("id", F.col("me.id"))
-    shingles = own.select("id").join(sets.withColumnRenamed("doc_id", "id"), "id").select("id", F.size("shingles").alias("of"), F.explode("shingles").alias("shingle"))
-    shingles = shingles.withColumn("often", F.count("*").over(Window.partitionBy("shingle")))
+    shingles = own.select("id", "root").join(sets.withColumnRenamed("doc_id", "id"), "id").select("id", "root", F.size("shingles").alias("of"), F.explode("shingles").alias("shingle"))
+    held = Window.partitionBy("shingle")
+    shingles = shingles.withColumns({"often": F.count("*").over(held), "several": F.min("root").over(held) != F.max("root").over(held)})
     ranked = shingles.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("often", "shingle")))
-    first = written(ranked.where((F.col("often") > 1) & (F.col("at") <= F.col("of") - F.ceil(similarity * F.col("of") - 1e-9) + 1)).select("id", "of", "at", "shingle"), "near-prefixes")
-    one, two = (first.select("shingle", *[F.col(c).alias(c + k) for c in ("id", "of", "at")]) for k in "12")
-    member = lambda k, name: own.select(F.col("id").alias("id" + k), F.col("root").alias("root" + k), F.col("keys").alias("keys" + k), F.col("me").alias(name))
-    room = 1 + F.least(F.col("of1") - F.col("at1"), F.col("of2") - F.col("at2"))
-    possible = (F.col("id1") < F.col("id2")) & (room * (1 + similarity) >= similarity * (F.col("of1") + F.col("of2")) - 1e-9)
-    pairs = one.join(two, "shingle").where(possible).select("id1", "id2").distinct()
-    return pairs.join(member("1", "one"), "id1").join(member("2", "two"), "id2").where("root1 != root2").where(F.arrays_overlap("keys1", "keys2")).select("one", "two")
+    # a shingle of one component pairs nothing; of others each member meets the other components, never its own,
+    # and only those where the member with most room left has enough of it
+    first = written(ranked.where(F.col("several") & (F.col("at") <= F.col("of") - F.ceil(similarity * F.col("of") - 1e-9) + 1)).select("id", "root", "shingle", "of", (F.col("of") - F.col("at")).alias("rest")), "near-prefixes")
+    one, two = (first.select("shingle", *[F.col(c).alias(c + k) for c in ("id", "root", "of", "rest")]) for k in "12")
+    enough = lambda rest, of: (1 + F.least("rest1", rest)) * (1 + similarity) >= similarity * (F.col("of1") + F.col(of)) - 1e-9
+    other = first.groupBy("shingle", F.col("root").alias("root2")).agg(F.max("rest").alias("most"), F.min("of").alias("least"))
+    facing = one.join(other, "shingle").where(F.col("root1") < F.col("root2")).where(enough("most", "least")).drop("most", "least")
+    member = lambda k, name: own.select(F.col("id").alias("id" + k), F.col("keys").alias("keys" + k), F.col("me").alias(name))
+    pairs = facing.join(two, ["shingle", "root2"]).where(enough("rest2", "of2")).select("id1", "id2").distinct()
+    return pairs.join(member("1", "one"), "id1").join(member("2", "two"), "id2").where(F.arrays_overlap("keys1", "keys2")).select("one", "two")
 
 
 def near_duplicate_groups(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
