@@ -155,7 +155,8 @@ def fingerprint_links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     fps = nodes.select("fp")
     home = fps.mapInArrow(in_batches(homes, 8192), "anchor long, a long")
     copy = fps.mapInArrow(in_batches(copies, 8192), "anchor long, b long")
-    return home.join(copy, "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)).select("a", "b")
+    # Spark takes the replicas, some 60 a fingerprint, for as many rows as there are fingerprints: it must never broadcast them
+    return home.hint("merge").join(copy.hint("merge"), "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)).select("a", "b")
 
 
 def fingerprint_components(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

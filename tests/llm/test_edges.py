@@ -118,6 +118,24 @@ def test_fingerprint_by_hand():
     assert simhash.fingerprint_of(simhash.shingle_hashes(None, 3)) == 0
 
 
+def broadcast_replicas(plan):
+    """Whether a plan broadcasts what Python made of rows, whose number Spark cannot know."""
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    lines = plan.splitlines()
+    for at, line in enumerate(lines):
+        below = itertools.takewhile(lambda x: depth(x) > depth(line), lines[at + 1 :])  # noqa: B023
+        if "BroadcastExchange" in line and any("MapInArrow" in x for x in below):
+            return True
+    return False
+
+
+def test_replicas_are_not_broadcast(spark):
+    """Some 60 replicas a fingerprint: 0.5 GB of documents have 14 million, which no driver holds."""
+    links = simhash.fingerprint_links(spark.range(1000).select(F.xxhash64("id").alias("fp")))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not broadcast_replicas(plan)
+
+
 def test_components_beyond_one_task(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100 + i, 101 + i) for i in range(10)], "a long, b long")
     for bound in (1_000_000, 5):
