@@ -197,6 +197,21 @@ def test_near_copies(spark):
     assert sorted(r["doc_id"] for r in kept) == [0, 3]
 
 
+def test_near_copies_broadcast_no_replicas(spark, monkeypatch):
+    plans = []
+
+    def noted(df, name, own=common.written):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return own(df, name)
+
+    monkeypatch.setattr(simhash, "written", noted)
+    monkeypatch.setattr(common, "written", noted)
+    text = " ".join(f"w{i}" for i in range(100))
+    kept = simhash.keep_one(docs(spark, [text, f"{text} more", "another"])).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 2]
+    assert sum("MapInArrow" in p for p in plans) > 2 and not any(map(broadcast_replicas, plans))
+
+
 # ---- lines, chat, urls
 
 
