@@ -26,10 +26,12 @@ name, are ignored by the query and kept by :func:`encode_documents`.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -155,7 +157,7 @@ class BpeTransducer:
         known = self._stable.get(key)
         if known is not None:
             return known
-        rank, text, before = self.ranks.get, self.tokens, NEVER
+        rank, text, halves, before = self.ranks.get, self.tokens, self._halves, NEVER
         a, b, known = left, right, True
         while True:
             joined = rank(text[a] + text[b])
@@ -163,7 +165,8 @@ class BpeTransducer:
                 known = False
                 break
             # the merge that is undone is the later one; at a tie the left side merged first
-            a_parts, b_parts = self.halves(a), self.halves(b)
+            a_parts = halves[a] if a in halves else self.halves(a)
+            b_parts = halves[b] if b in halves else self.halves(b)
             if a_parts and (not b_parts or a > b):
                 before, a = a, a_parts[1]
             elif b_parts:
@@ -186,7 +189,8 @@ class BpeTransducer:
         if few is None:
             return last, None, node
         if last >= 0:
-            few = tuple([t for t in few if self.stable(last, t)])
+            stable, known, left = self.stable, self._stable.get, last << 32
+            few = tuple([t for t in few if (stable(last, t) if (k := known(left | t)) is None else k)])
         return (-1, few, node) if few else None
 
     def _state(self, hypotheses: list) -> int:
@@ -385,14 +389,16 @@ _UNSAFE = re.compile(r"\s |^\s")
 class Codec:
     """Encodes and decodes whole texts with one vocabulary and pattern.
 
-    ``words`` and ``bare`` remember the ids of recent words and pieces; they
-    are dropped between batches once they hold MAX_CHUNKS entries.
+    ``words`` and ``bare`` remember the ids of recent words and pieces.  Once
+    they hold MAX_CHUNKS entries, the next batch begins them anew; ``older``
+    has the words of before, of which those met again are taken over.
     """
 
     def __init__(self, vocabulary: str, pattern: str):
         self.fst = BpeTransducer(load_ranks(vocabulary))
         self.pieces = regex.compile(pattern).findall
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.bare: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> list[int]:
@@ -407,7 +413,7 @@ class Codec:
         texts are cut by the pattern as a whole.
         """
         if len(self.words) > MAX_CHUNKS:
-            self.words = {}
+            self.older, self.words = self.words, {}
         if len(self.bare) > MAX_CHUNKS:
             self.bare = {}
         words, bare = self.words, self.bare
@@ -421,21 +427,24 @@ class Codec:
                 first, *rest = text.split(" ")
                 cut.append((self.pieces(first), rest))
         new_words = set().union(*(rest for _, rest in cut)).difference(words)
+        if older := self.older:
+            met = new_words.intersection(older)
+            words.update(zip(met, map(older.__getitem__, met), strict=True))
+            new_words -= met
         new_bare = set().union(*(pieces for pieces, _ in cut)).difference(bare)
-        parts: list[list[str]] = [self._parts(word) for word in new_words]
-        wanted = list(new_bare.union(*parts).difference(bare))
-        known = dict(zip(wanted, self.fst.encode_many([p.encode("utf-8", "surrogatepass") for p in wanted]), strict=True))
+        parts: list[list[str]] = list(map(self._parts, new_words))
+        wanted = new_bare.union(chain.from_iterable(parts))
+        known = {piece: bare[piece] for piece in wanted.intersection(bare)}
+        wanted = list(wanted.difference(bare))
+        known.update(zip(wanted, self.fst.encode_many([p.encode("utf-8", "surrogatepass") for p in wanted]), strict=True))
         for piece in new_bare:
             bare[piece] = known[piece]
         for word, own in zip(new_words, parts, strict=True):
-            words[word] = known[own[0]] if len(own) == 1 else sum((known.get(p) or bare[p] for p in own), ())
+            words[word] = known[own[0]] if len(own) == 1 else tuple(chain.from_iterable(map(known.__getitem__, own)))
         out = []
         for pieces, rest in cut:
-            ids: list[int] = []
-            for piece in pieces:
-                ids += bare[piece]
-            for word in rest:
-                ids += words[word]
+            ids = list(chain.from_iterable(map(bare.__getitem__, pieces)))
+            ids.extend(chain.from_iterable(map(words.__getitem__, rest)))
             out.append(ids)
         return out
 
@@ -497,28 +506,36 @@ def token_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
 
     Ids stay inside the task; only the digests leave it.  A task builds its
     own codec and lets go of it: workers serve other operators' tasks too.
+    Nothing here is cyclic, so no cycles are looked for among a codec's many
+    objects until the task is done.
     """
     vocabulary, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Codec(vocabulary, pattern)
-        decimal = {i: str(i) for i in own.fst.tokens}
-        for whole in batches:
-            for batch in _pieces_of(whole):
-                counts, encoded, decoded = [], [], []
-                for ids in own.encode_texts([t or "" for t in batch.column(1).to_pylist()]):
-                    counts.append(len(ids))
-                    encoded.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                    back = hashlib.sha256()
-                    for part in own.decode(ids):
-                        back.update(part.encode("utf-8"))
-                    decoded.append(back.hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-        del own, decimal
+        searched = gc.isenabled()
+        gc.disable()
+        try:
+            own = Codec(vocabulary, pattern)
+            decimal = {i: str(i) for i in own.fst.tokens}
+            for whole in batches:
+                for batch in _pieces_of(whole):
+                    counts, encoded, decoded = [], [], []
+                    for ids in own.encode_texts([t or "" for t in batch.column(1).to_pylist()]):
+                        counts.append(len(ids))
+                        encoded.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+                        back = hashlib.sha256()
+                        for part in own.decode(ids):
+                            back.update(part.encode("utf-8"))
+                        decoded.append(back.hexdigest())
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())],
+                        ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    )
+            del own, decimal
+        finally:
+            if searched:
+                gc.enable()
         give_back()
 
     return source.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

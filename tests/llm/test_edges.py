@@ -95,6 +95,42 @@ def test_round_trip_columns(spark):
     assert [r["decoded"] for r in back.orderBy("doc_id").collect()] == ["héllo wörld", ""]
 
 
+def test_words_met_again_are_not_encoded_again(monkeypatch):
+    """Full tables begin anew, but what the text goes on using is taken over."""
+    monkeypatch.setattr(bpe, "MAX_CHUNKS", 2)
+    codec = bpe.Codec(bpe.default_vocabulary(), bpe.default_pattern())
+    asked, own = [], codec.fst.encode_many
+    monkeypatch.setattr(codec.fst, "encode_many", lambda pieces: asked.extend(pieces) or own(pieces))
+    text = "x zzyx1, qwrt. zzyx1, wordes"
+    first = codec.encode(text)
+    asked.clear()
+    assert codec.encode(text) == first == codec.encode(text) and not {b" zzyx", b" qwrt", b" wordes"} & set(asked)
+    assert codec.decode_bytes(first) == text.encode()
+
+
+def test_no_cycles_are_searched_while_encoding(spark):
+    """A codec's objects are many and not cyclic; afterwards the worker searches again."""
+    import gc
+
+    runs = []
+    noted = lambda phase, info: phase == "start" and runs.append(info)
+    batch = [bpe.pa.RecordBatch.from_arrays([bpe.pa.array([k]), bpe.pa.array([" ".join(f"w{k}x{i}" for i in range(20_000))])], ["doc_id", "text"]) for k in range(2)]
+    taken = []
+
+    class Docs:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, function, schema: taken.append(function)
+
+    bpe.token_digests(Docs())
+    gc.callbacks.append(noted)
+    try:
+        rows = taken[0](iter(batch))
+        assert [next(rows).num_rows for _ in batch] == [1, 1] and not runs
+        assert list(rows) == [] and gc.isenabled()
+    finally:
+        gc.callbacks.remove(noted)
+
+
 # ---- SimHash and near copies
 
 
