@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hopweave.llm.common import components, in_batches, table, written
@@ -222,6 +222,11 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(in_batches(listed, 512), "doc_id long, shingles array<long>")
 
 
+def _sorted_join(left: DataFrame, right: DataFrame, on: Column | str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two sides that grow with the input: by Spark's guess of their size either could be broadcast."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def _sized(pairs: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of pairs (one, two): each once, without those whose sizes rule the similarity out."""
     pairs = pairs.where("one.id != two.id").where(F.least("one.n", "two.n") >= similarity * F.greatest("one.n", "two.n"))
@@ -232,9 +237,9 @@ def _pivot_pairs(apart: DataFrame) -> DataFrame:
     """(one, two): every member of a key with the member that meets most others of other components."""
     own = apart.groupBy("me.id").agg(F.sum("others").alias("met"))
     rank = F.struct("met", -F.col("id"))
-    ranked = apart.withColumn("id", F.col("me.id")).join(own, "id").select("key", "root", "me", rank.alias("rank"))
+    ranked = _sorted_join(apart.withColumn("id", F.col("me.id")), own, "id").select("key", "root", "me", rank.alias("rank"))
     pivots = ranked.groupBy("key").agg(F.max_by(F.struct("me", "root"), "rank").alias("pivot"))
-    return apart.join(pivots, "key").where("root != pivot.root").select(F.col("me").alias("one"), F.col("pivot.me").alias("two"))
+    return _sorted_join(apart, pivots, "key").where("root != pivot.root").select(F.col("me").alias("one"), F.col("pivot.me").alias("two"))
 
 
 def _all_pairs(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -245,7 +250,7 @@ def _all_pairs(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     they share there is room for the rest: pairs without that are none.
     """
     own = apart.groupBy("me", "root").agg(F.collect_set("key").alias("keys")).withColumn("id", F.col("me.id"))
-    shingles = own.select("id", "root").join(sets.withColumnRenamed("doc_id", "id"), "id").select("id", "root", F.size("shingles").alias("of"), F.explode("shingles").alias("shingle"))
+    shingles = _sorted_join(own.select("id", "root"), sets.withColumnRenamed("doc_id", "id"), "id").select("id", "root", F.size("shingles").alias("of"), F.explode("shingles").alias("shingle"))
     held = Window.partitionBy("shingle")
     shingles = shingles.withColumns({"often": F.count("*").over(held), "several": F.min("root").over(held) != F.max("root").over(held)})
     ranked = shingles.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("often", "shingle")))
@@ -255,10 +260,10 @@ def _all_pairs(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     one, two = (first.select("shingle", *[F.col(c).alias(c + k) for c in ("id", "root", "of", "rest")]) for k in "12")
     enough = lambda rest, of: (1 + F.least("rest1", rest)) * (1 + similarity) >= similarity * (F.col("of1") + F.col(of)) - 1e-9
     other = first.groupBy("shingle", F.col("root").alias("root2")).agg(F.max("rest").alias("most"), F.min("of").alias("least"))
-    facing = one.join(other, "shingle").where(F.col("root1") < F.col("root2")).where(enough("most", "least")).drop("most", "least")
+    facing = _sorted_join(one, other, "shingle").where(F.col("root1") < F.col("root2")).where(enough("most", "least")).drop("most", "least")
     member = lambda k, name: own.select(F.col("id").alias("id" + k), F.col("keys").alias("keys" + k), F.col("me").alias(name))
-    pairs = facing.join(two, ["shingle", "root2"]).where(enough("rest2", "of2")).select("id1", "id2").distinct()
-    return pairs.join(member("1", "one"), "id1").join(member("2", "two"), "id2").where(F.arrays_overlap("keys1", "keys2")).select("one", "two")
+    pairs = _sorted_join(facing, two, ["shingle", "root2"]).where(enough("rest2", "of2")).select("id1", "id2").distinct()
+    return _sorted_join(_sorted_join(pairs, member("1", "one"), "id1"), member("2", "two"), "id2").where(F.arrays_overlap("keys1", "keys2")).select("one", "two")
 
 
 def near_duplicate_groups(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
@@ -277,7 +282,7 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = NEAR_SIMILARITY)
     classes = written(sketches.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "near-classes")
     met = fingerprint_links(written(classes.select("fp").distinct(), "near-fingerprints"))
     me = F.struct("id", "n").alias("me")
-    by_anchor = met.select(F.explode(F.array("a", "b")).alias("fp"), F.xxhash64("a", "b").alias("key")).join(classes.select("id", "n", "fp"), "fp").select("key", me)
+    by_anchor = _sorted_join(met.select(F.explode(F.array("a", "b")).alias("fp"), F.xxhash64("a", "b").alias("key")), classes.select("id", "n", "fp"), "fp").select("key", me)
     by_key = classes.select(F.explode(F.concat("keys", F.array("fp"))).alias("key"), me)
     size = F.count("*").over(Window.partitionBy("key"))
     meetings = written(by_key.unionByName(by_anchor).withColumn("size", size).where("size > 1"), "near-meetings")
@@ -288,7 +293,7 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = NEAR_SIMILARITY)
     def similar(pairs: DataFrame) -> DataFrame:
         one, two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
         shared = F.size(F.array_intersect("sa", "sb"))
-        return written(pairs.join(one, "a").join(two, "b").where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "near-links")
+        return written(_sorted_join(_sorted_join(pairs, one, "a"), two, "b").where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "near-links")
 
     order = Window.partitionBy("key").orderBy("me.id")
     before = F.array_distinct(F.array_compact(F.array(F.first("me").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lag("me", 1).over(order), F.lag("me", 2).over(order))))
@@ -296,15 +301,15 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = NEAR_SIMILARITY)
     links = similar(compared)
     roots, found = components(links, "near-components"), True
     while True:
-        placed = meetings.join(roots, F.col("me.id") == F.col("node"), "left").select("key", "size", "me", F.coalesce("root", "me.id").alias("root"))
+        placed = _sorted_join(meetings, roots, F.col("me.id") == F.col("node"), "left").select("key", "size", "me", F.coalesce("root", "me.id").alias("root"))
         others = F.col("size") - F.count("*").over(Window.partitionBy("key", "root"))
         apart = written(placed.withColumn("others", others).where("others > 0"), "near-apart")
         left = (apart.agg(F.sum("others")).first()[0] or 0) // 2
         if left == 0:
             break
         last = not found or left <= PAIRS_AT_ONCE
-        pairs = _sized(_all_pairs(apart, sets, similarity) if last else _pivot_pairs(apart), similarity).join(compared, ["a", "b"], "left_anti")
-        pairs = written(pairs, "near-pairs")
+        pairs = _sized(_all_pairs(apart, sets, similarity) if last else _pivot_pairs(apart), similarity)
+        pairs = written(_sorted_join(pairs, compared, ["a", "b"], "left_anti"), "near-pairs")
         more = similar(pairs)
         found = not more.isEmpty()
         if found:
@@ -313,8 +318,8 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = NEAR_SIMILARITY)
         if last:
             break
         compared = compared.unionByName(pairs)
-    placed = classes.select("h1", "h2", "id").join(roots, F.col("id") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "id").alias("group"))
-    return sketches.select("doc_id", "h1", "h2").join(placed, ["h1", "h2"]).where("doc_id != group").select("doc_id", "group").distinct()
+    placed = _sorted_join(classes.select("h1", "h2", "id"), roots, F.col("id") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "id").alias("group"))
+    return _sorted_join(sketches.select("doc_id", "h1", "h2"), placed, ["h1", "h2"]).where("doc_id != group").select("doc_id", "group").distinct()
 
 
 def keep_one(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:

@@ -248,6 +248,24 @@ def test_near_copies_broadcast_no_replicas(spark, monkeypatch):
     assert sum("MapInArrow" in p for p in plans) > 2 and not any(map(broadcast_replicas, plans))
 
 
+def test_near_copies_broadcast_nothing_that_grows(spark, monkeypatch):
+    """Only the ids that fetch their texts may be broadcast: the prefixes of 0.6 GB took 61 MB of the driver's memory."""
+    plans, own = [], common.written
+
+    def noted(df, name):
+        out = own(df, name)
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(simhash, "written", noted)
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 0)
+    base = [f"h{i}" for i in range(300)]
+    texts = [" ".join([*base[:at], *(f"v{at}x{i}" for i in range(changed)), *base[at + changed :]]) for changed in (10, 60) for at in range(0, 300, 60)]
+    assert {r["doc_id"] for r in simhash.near_duplicate_groups(docs(spark, texts)).collect()} == {1, 2, 3, 4}
+    assert {"near-meetings", "near-links", "near-apart", "near-prefixes"} <= {name for name, _ in plans}
+    assert [name for name, plan in plans if "Broadcast" in plan and name != "near-shingles"] == []
+
+
 # ---- lines, chat, urls
 
 
