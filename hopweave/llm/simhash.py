@@ -299,9 +299,10 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = NEAR_SIMILARITY)
     before = F.array_distinct(F.array_compact(F.array(F.first("me").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lag("me", 1).over(order), F.lag("me", 2).over(order))))
     compared = written(_sized(meetings.select(F.col("me").alias("one"), before.alias("before")).select("one", F.explode("before").alias("two")), similarity), "near-pairs")
     links = similar(compared)
-    roots, found = components(links, "near-components"), True
+    roots, found, apart = components(links, "near-components"), True, meetings
     while True:
-        placed = _sorted_join(meetings, roots, F.col("me.id") == F.col("node"), "left").select("key", "size", "me", F.coalesce("root", "me.id").alias("root"))
+        # a key whose members are one component stays so: the next round has only the others, each with all its members
+        placed = _sorted_join(apart.select("key", "size", "me"), roots, F.col("me.id") == F.col("node"), "left").select("key", "size", "me", F.coalesce("root", "me.id").alias("root"))
         others = F.col("size") - F.count("*").over(Window.partitionBy("key", "root"))
         apart = written(placed.withColumn("others", others).where("others > 0"), "near-apart")
         left = (apart.agg(F.sum("others")).first()[0] or 0) // 2

@@ -266,6 +266,24 @@ def test_near_copies_broadcast_nothing_that_grows(spark, monkeypatch):
     assert [name for name, plan in plans if "Broadcast" in plan and name != "near-shingles"] == []
 
 
+def test_settled_keys_are_not_met_again(spark, monkeypatch):
+    """Each round takes the keys that the one before left apart, with all their members."""
+    read, own = [], common.written
+
+    def noted(df, name):
+        if name == "near-apart":
+            read.append({f.split("/")[-2].rpartition("-")[0] for f in df.inputFiles()})
+        return own(df, name)
+
+    monkeypatch.setattr(simhash, "written", noted)
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 0)
+    base = [f"h{i}" for i in range(300)]
+    texts = [" ".join([*base[:at], *(f"v{at}x{i}" for i in range(changed)), *base[at + changed :]]) for changed in (10, 60) for at in range(0, 300, 60)]
+    assert {r["doc_id"] for r in simhash.near_duplicate_groups(docs(spark, texts)).collect()} == {1, 2, 3, 4}
+    assert len(read) > 1 and "near-meetings" in read[0]
+    assert all("near-apart" in names and "near-meetings" not in names for names in read[1:])
+
+
 # ---- lines, chat, urls
 
 
